@@ -26,7 +26,7 @@ from leakguard.operators.levels import (
     split_levels,
     with_seconds,
 )
-from leakguard.operators.skew import materialize, split_hot
+from leakguard.operators.skew import group_columns, materialize, split_hot
 from leakguard.schemas import Measure, Thresholds
 
 # Executors need no copy of this package: the bucket rule travels with the task.
@@ -130,7 +130,7 @@ def _settle(
             return staged, spans.select(*by, "before", "after")
         rounds += 1
         if rounds > _ROUNDS_BEFORE_WIDENING:
-            wide = F.floor(F.col("chunk") / F.lit(_WIDEN)).cast("bigint")
+            wide = F.expr(f"chunk div {_WIDEN}")
             staged = staged.withColumn("chunk", wide)
             first_of = F.row_number().over(Window.partitionBy(*keys, wide).orderBy("chunk")) == 1
             merged = checked.withColumn("_inner", F.col("dirty") & ~first_of)
@@ -165,17 +165,15 @@ def _settle(
 
 
 def _candidates(
-    parts: DataFrame, hot: bool, keys: list[str], measures: list[Measure], floor: bool
+    rows: DataFrame, keys: list[str], measures: list[Measure], floor: bool
 ) -> DataFrame:
-    """Drop ordinary keys whose level never passes a volume; they cannot reset."""
-    by = [*keys, "chunk"]
-    levels = split_levels(parts, False, keys, measures, floor)
+    """Drop keys whose level never passes a volume; they cannot reset."""
+    levels = split_levels(rows, False, keys, measures, floor)
     over = F.lit(False)
     for m in measures:
         over = over | (F.col(f"{m.name}_level") > m.volume)
-    levels = levels.withColumn("_over", F.max(over).over(Window.partitionBy(*by)))
-    keep = F.col("_over") | (F.col("chunk") >= 0) if hot else F.col("_over")
-    return levels.filter(keep).select(*parts.columns)
+    levels = levels.withColumn("_over", F.max(over).over(Window.partitionBy(*keys)))
+    return levels.filter("_over").select(*rows.columns)
 
 
 def _prepare(
@@ -203,24 +201,26 @@ def bucket_bans(
     limit: int | None = None,
 ) -> DataFrame:
     """Ban events: keys, ``seq``, ``family``, ``measure`` and ``expires_us``."""
-    parts, hot, by_key = _prepare(events, keys, measures, idle_reset_s, limit)
-    by = [*by_key, "chunk"]
+    rows, hot, by_key = _prepare(events, keys, measures, idle_reset_s, limit)
+    by = group_columns(by_key, hot)
     if hot:
-        staged, spans = _settle(parts.filter(F.col("chunk") >= 0), by_key, measures, floor)
-        parts = parts.filter(F.col("chunk") < 0).unionByName(staged)
-    rows = parts
-    if prefilter:
-        rows = _candidates(_sorted(parts, by), hot, by_key, measures, floor)
-    if hot:
-        rows = _with_carry(rows, _carry_rows(spans, by, "before", measures))
+        staged, spans = _settle(rows.filter(F.col("chunk") >= 0), by_key, measures, floor)
+        rows = rows.filter(F.col("chunk") < 0)
+        if prefilter:
+            rows = _candidates(rows, by_key, measures, floor)
+        rows = _with_carry(
+            rows.unionByName(staged), _carry_rows(spans, by, "before", measures)
+        )
+    elif prefilter:
+        rows = _no_carry(_candidates(rows, by_key, measures, floor), measures)
     else:
         rows = _no_carry(rows, measures)
-    if hot or not prefilter:
-        rows = _sorted(rows, by)
+    if prefilter and not hot:
+        # placed and ordered by the prefilter's windows already: no second shuffle
+        ordered = rows.sortWithinPartitions(*by, F.col("seq").asc_nulls_first())
     else:
-        # already placed and ordered by the prefilter; the sort drops out
-        rows = rows.sortWithinPartitions(*by, F.col("seq").asc_nulls_first())
-    return _run(rows, by, measures, floor, "bans").drop("chunk", "session")
+        ordered = _sorted(rows, by)
+    return _run(ordered, by, measures, floor, "bans").drop("chunk", "session")
 
 
 def bucket_states(
@@ -233,16 +233,16 @@ def bucket_states(
 ) -> DataFrame:
     """State left per key: keys, ``<measure>_level`` and ``last_sec``."""
     parts, hot, by_key = _prepare(events, keys, measures, idle_reset_s, limit)
-    by = [*by_key, "chunk"]
+    by = group_columns(by_key, hot)
     cold = parts.filter(F.col("chunk") < 0) if hot else parts
     ran = _run(_sorted(_no_carry(cold, measures), by), by, measures, floor, "states")
     left = ran.select(*by, _state("out", measures).alias("after"))
     if hot:
         _, spans = _settle(parts.filter(F.col("chunk") >= 0), by_key, measures, floor)
         left = left.unionByName(spans.select(*by, "after"))
-    if hot or idle_reset_s is not None:
-        latest = F.struct("session", "chunk") if idle_reset_s is not None else F.col("chunk")
-        left = left.groupBy(*keys).agg(F.max_by("after", latest).alias("after"))
+    latest = [c for c in by if c not in keys]
+    if latest:
+        left = left.groupBy(*keys).agg(F.max_by("after", F.struct(*latest)).alias("after"))
     return left.filter(F.col("after").isNotNull()).select(
         *keys,
         *[F.col(f"after.`{i}`").alias(f"{m.name}_level") for i, m in enumerate(measures)],

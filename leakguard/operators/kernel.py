@@ -25,25 +25,62 @@ class Rule:
     floor: bool
 
 
+def step(rule, state, sec, time_us, cost):
+    """One event: ``(new state, None or (measure, expires_us))``.
+
+    Order: add the cost, leak for the elapsed seconds, compare.  A fresh bucket
+    (``state`` is ``None``) leaks nothing on its first event.  An overflow drops
+    the bucket.
+    """
+    if state is None:
+        levels, last, moved, elapsed = cost, sec, True, 0
+    else:
+        held, last = state
+        elapsed = sec - last
+        moved = elapsed > 0
+        if moved:
+            last = sec
+            levels = [h + c - leak * elapsed for h, c, leak in zip(held, cost, rule.leak)]
+        else:
+            levels = [h + c for h, c in zip(held, cost)]
+        if rule.floor:
+            levels = [0 if x < 0 else x for x in levels]
+    for m, volume in enumerate(rule.volume):
+        if levels[m] > volume:
+            base = time_us if moved else last * US
+            return None, (m, base + rule.ban_us[m])
+    return (levels, last), None
+
+
 def run_bucket(rule, sec, time_us, costs, state):
     """Feed events to a bucket that is dropped whenever it overflows.
 
     ``state`` is ``None`` for a fresh bucket, else ``(levels, last_sec)``.
     Returns the state left behind and ``[(index, measure, expires_us), ...]``.
 
-    Order per event: add the cost, leak for the elapsed seconds, compare.  A
-    fresh bucket's first event leaks nothing.  The level reached by every event
-    of a slice is computed at once; the slice ends at its first overflow.
+    Short buckets go event by event.  A bucket that outlives a slice goes on
+    with whole slices: the levels of all its events are computed at once and
+    the slice ends at its first overflow.
     """
     hits = []
     n = len(sec)
     i = 0
-    step = _MIN_STEP
+    width = _MIN_STEP
     while i < n:
-        j = min(n, i + step)
+        j = min(n, i + width)
+        if width == _MIN_STEP:
+            found = len(hits)
+            rows = zip(sec[i:j].tolist(), time_us[i:j].tolist(), zip(*[c[i:j].tolist() for c in costs]))
+            for at, (s, t, cost) in enumerate(rows, i):
+                state, hit = step(rule, state, s, t, cost)
+                if hit is not None:
+                    hits.append((at, *hit))
+            i = j
+            if found == len(hits) and state is not None:
+                width *= 2
+            continue
         s = sec[i:j]
-        fresh = state is None
-        levels, start = ((0,) * len(costs), int(s[0])) if fresh else state
+        levels, start = state
         last = np.maximum(np.maximum.accumulate(s), start)
         elapsed = last - start
         reached, over = [], []
@@ -58,16 +95,15 @@ def run_bucket(rule, sec, time_us, costs, state):
         if not any_over[k]:
             state = (tuple(int(level[-1]) for level in reached), int(last[-1]))
             i = j
-            step = min(step * 2, _MAX_STEP)
+            width = min(width * 2, _MAX_STEP)
             continue
         m = next(m for m in range(len(over)) if over[m][k])
-        before = int(last[k - 1]) if k else (None if fresh else start)
-        moved = before is None or int(s[k]) > before
-        base = int(time_us[i + k]) if moved else int(last[k]) * US
+        before = int(last[k - 1]) if k else start
+        base = int(time_us[i + k]) if int(s[k]) > before else int(last[k]) * US
         hits.append((i + k, m, base + rule.ban_us[m]))
         state = None
         i += k + 1
-        step = max(_MIN_STEP, 2 * (k + 1))
+        width = _MIN_STEP
     return state, hits
 
 

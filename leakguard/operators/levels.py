@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakguard.operators.skew import split_hot
+from leakguard.operators.skew import group_columns, split_hot
 from leakguard.schemas import Measure, Thresholds
 
 CLIENT_KEYS = ["client_key"]
@@ -66,28 +66,27 @@ def _carry(parts: DataFrame, keys: list[str], measures: list[Measure]) -> DataFr
     ).filter(F.col("sec").isNotNull())
 
 
-def _joined(parts: DataFrame, carry: DataFrame | None) -> DataFrame:
-    rows = parts.withColumn("_carry", F.lit(False))
-    if carry is None:
-        return rows
-    return rows.unionByName(
+def _joined(parts: DataFrame, carry: DataFrame) -> DataFrame:
+    return parts.withColumn("_carry", F.lit(False)).unionByName(
         carry.withColumn("_carry", F.lit(True)), allowMissingColumns=True
     )
 
 
 def _net_levels(rows: DataFrame, by: list[str], measures: list[Measure]) -> DataFrame:
     upto, before = _order(by)
-    prev = F.max("sec").over(before)
-    rows = rows.withColumn("_prev", prev)
-    rows = rows.withColumn(
-        "delta", F.greatest(F.coalesce(F.col("sec") - F.col("_prev"), F.lit(0)), F.lit(0))
-    ).withColumn("last_sec", F.greatest("_prev", "sec"))
+    rows = rows.withColumn("_prev", F.max("sec").over(before)).withColumns(
+        {
+            "delta": F.greatest(F.coalesce(F.col("sec") - F.col("_prev"), F.lit(0)), F.lit(0)),
+            "last_sec": F.greatest("_prev", "sec"),
+        }
+    )
+    levels = {}
     for m in measures:
         net = F.col(m.cost) - F.lit(m.leak) * F.col("delta")
         if f"_in_{m.name}" in rows.columns:
             net = F.when(F.col("_carry"), F.col(f"_in_{m.name}")).otherwise(net)
-        rows = rows.withColumn(f"{m.name}_level", F.sum(net).over(upto))
-    return rows
+        levels[f"{m.name}_level"] = F.sum(net).over(upto)
+    return rows.withColumns(levels) if levels else rows
 
 
 def split_levels(
@@ -97,35 +96,41 @@ def split_levels(
     measures: list[Measure],
     floor: bool = False,
 ) -> DataFrame:
-    """Levels of a frame that already has its ``chunk`` column."""
-    by = [*keys, "chunk"]
-    carry = _carry(parts, keys, measures) if hot else None
-    rows = _net_levels(_joined(parts, carry), by, measures)
-    if not floor:
-        return rows.filter(~F.col("_carry")) if hot else rows
-    if hot:
-        lows = (
-            rows.filter((F.col("chunk") >= 0) & ~F.col("_carry"))
-            .groupBy(*by)
-            .agg(*[F.min(f"{m.name}_level").alias(f"_low_{m.name}") for m in measures])
-        )
-        past = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(
-            Window.unboundedPreceding, -1
-        )
-        lows = lows.select(
-            *by, *[F.min(f"_low_{m.name}").over(past).alias(f"_min_{m.name}") for m in measures]
-        )
-        rows = _net_levels(_joined(parts, carry.join(lows, by)), by, measures)
+    """Levels of a frame that went through ``split_hot``."""
+    by = group_columns(keys, hot)
     upto, _ = _order(by)
-    for m in measures:
-        level = F.col(f"{m.name}_level")
-        seen = F.when(F.col("_carry"), F.col(f"_min_{m.name}")).otherwise(level) if hot else level
-        lowest = F.min(seen).over(upto)
-        rows = rows.withColumn(f"_lowest_{m.name}", lowest)
-    for m in measures:
-        rows = rows.withColumn(
-            f"{m.name}_level",
-            F.col(f"{m.name}_level") - F.least(F.lit(0), F.col(f"_lowest_{m.name}")),
+    if not hot:
+        rows = _net_levels(parts, by, measures)
+    else:
+        carry = _carry(parts, keys, measures)
+        rows = _net_levels(_joined(parts, carry), by, measures)
+        if floor:
+            lows = (
+                rows.filter((F.col("chunk") >= 0) & ~F.col("_carry"))
+                .groupBy(*by)
+                .agg(*[F.min(f"{m.name}_level").alias(f"_low_{m.name}") for m in measures])
+            )
+            past = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(
+                Window.unboundedPreceding, -1
+            )
+            lows = lows.select(
+                *by,
+                *[F.min(f"_low_{m.name}").over(past).alias(f"_min_{m.name}") for m in measures],
+            )
+            rows = _net_levels(_joined(parts, carry.join(lows, by)), by, measures)
+    if floor:
+        lowest = {}
+        for m in measures:
+            level = F.col(f"{m.name}_level")
+            if hot:
+                level = F.when(F.col("_carry"), F.col(f"_min_{m.name}")).otherwise(level)
+            lowest[f"_lowest_{m.name}"] = F.min(level).over(upto)
+        rows = rows.withColumns(lowest).withColumns(
+            {
+                f"{m.name}_level": F.col(f"{m.name}_level")
+                - F.least(F.lit(0), F.col(f"_lowest_{m.name}"))
+                for m in measures
+            }
         )
     return rows.filter(~F.col("_carry")) if hot else rows
 
@@ -151,13 +156,12 @@ def sessions(
     The gap is measured from the latest second the key has shown so far.
     """
     parts, hot = split_hot(events, keys, limit)
-    by = [*keys, "chunk"]
-    carry = _carry(parts, keys, []) if hot else None
+    by = group_columns(keys, hot)
     upto, before = _order(by)
-    rows = _joined(parts, carry).withColumn("_prev", F.max("sec").over(before))
-    rows = rows.withColumn(
-        "_new",
-        F.when(~F.col("_carry") & (F.col("sec") - F.col("_prev") > idle_s), 1).otherwise(0),
+    rows = _joined(parts, _carry(parts, keys, [])) if hot else parts
+    gap = F.col("sec") - F.col("_prev") > idle_s
+    rows = rows.withColumn("_prev", F.max("sec").over(before)).withColumn(
+        "_new", F.when(~F.col("_carry") & gap if hot else gap, 1).otherwise(0)
     )
     rows = rows.withColumn("session", F.sum("_new").over(upto))
     if hot:

@@ -50,15 +50,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows (column ``n``), or None.
+    """Keys with more than ``limit`` rows (column ``hot_n``), or None.
 
     Reads only the key columns and counts map-side first.
     """
     heavy = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > limit)
-        .orderBy(F.desc("n"))
+        .agg(F.count(F.lit(1)).alias("hot_n"))
+        .filter(F.col("hot_n") > limit)
+        .orderBy(F.desc("hot_n"))
         .limit(MAX_HOT_KEYS)
     )
     rows = heavy.collect()
@@ -70,23 +70,24 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
 def split_hot(
     df: DataFrame, keys: list[str], limit: int | None = None
 ) -> tuple[DataFrame, bool]:
-    """Add ``chunk``: -1 for ordinary keys, a span of ``seq`` for hot ones.
+    """Add ``chunk`` if some key is hot: a span of ``seq`` for hot keys, else -1.
 
     ``seq`` is unique, so a ``(keys, chunk)`` group never exceeds ``limit`` rows.
+    Without hot keys the frame is returned as it is.
     """
     limit = limit or hot_rows_limit(df.sparkSession)
     hot = hot_keys(df, keys, limit)
     if hot is None:
-        return df.withColumn("chunk", F.lit(-1).cast("bigint")), False
-    marked = df.join(
-        F.broadcast(hot.withColumnRenamed("n", "_hot_n")), keys, "left"
-    ).withColumn(
-        "chunk",
-        F.when(F.col("_hot_n").isNotNull(), F.floor(F.col("seq") / F.lit(limit))).otherwise(
-            F.lit(-1)
-        ).cast("bigint"),
+        return df, False
+    span = F.expr(f"seq div {limit}")
+    marked = df.join(F.broadcast(hot), keys, "left").withColumn(
+        "chunk", F.when(F.col("hot_n").isNotNull(), span).otherwise(F.lit(-1).cast("bigint"))
     )
-    return marked.drop("_hot_n"), True
+    return marked.drop("hot_n"), True
+
+
+def group_columns(keys: list[str], hot: bool) -> list[str]:
+    return [*keys, "chunk"] if hot else list(keys)
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
@@ -116,7 +117,7 @@ def lookup_join(
     hot = hot_keys(left.filter(F.col(key).isNotNull()), [key], limit)
     if hot is None:
         return left.join(right, key, how)
-    copies = hot.select(key, F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_copies"))
+    copies = hot.select(key, F.ceil(F.col("hot_n") / F.lit(limit)).cast("int").alias("_copies"))
     spread = (
         left.join(F.broadcast(copies), key, "left")
         .withColumn(
@@ -147,7 +148,7 @@ def number_rows(
     earlier spans, so no task ever holds more than one span.
     """
     limit = limit or hot_rows_limit(df.sparkSession)
-    span = df.withColumn("_span", F.floor(F.col(seq) / F.lit(limit)))
+    span = df.withColumn("_span", F.expr(f"{seq} div {limit}"))
     sizes = span.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
     # one row per span: bounded by the range of seq over the span width
     before = F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))

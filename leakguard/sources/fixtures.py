@@ -40,7 +40,7 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _table(spark, sf_dir, "events")
-    hours = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000))
+    hours = F.expr("unix_seconds(cast(ts as timestamp)) div 3600")
     c = F.pmod("user_id", F.lit(16))
     k = F.get_json_object("props", "$.k").cast("bigint")
     return ev.select(
