@@ -1,8 +1,10 @@
-"""IP address and prefix columns, all in built-in SQL functions.
+"""IP address and prefix expressions, all in built-in SQL functions.
 
 Both families share one 128-bit form: 32 lower-case hex digits, IPv4 as
 ``::ffff:a.b.c.d``.  Fixed-width hex sorts in address order, so ranges and
 their ends can be compared as text without any 128-bit number type.
+
+Arguments are SQL expressions as text (usually a column name).
 """
 
 from __future__ import annotations
@@ -10,214 +12,189 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-V4_RE = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-_V4_TAIL_RE = rf"^[0-9a-fA-F:]*:{_OCTET}(?:\.{_OCTET}){{3}}$"
-_HEXTETS = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
-_FULL_RE = r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}$"
-_SHORT_RE = rf"^(?:{_HEXTETS})?::(?:{_HEXTETS})?$"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_DOTTED = f"{_OCTET}(?:[.]{_OCTET}){{3}}"
+_HEXTETS = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+_FULL = "^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}$"
+_SHORT = f"^(?:{_HEXTETS})?::(?:{_HEXTETS})?$"
 _MAPPED = "0" * 20 + "ffff"
 
 
-def _v4_hex(addr: Column) -> Column:
-    octets = F.split(addr, r"\.", 4)
-    return F.lower(
-        F.concat(*[F.lpad(F.hex(octets[i].cast("bigint")), 2, "0") for i in range(4)])
-    )
-
-
-def _padded(hextets: Column) -> Column:
-    """Colon-separated hextets -> their digits, each padded to four."""
-    wide = F.regexp_replace(hextets, "([0-9a-f]+)", "000$1")
-    return F.regexp_replace(wide, "0*([0-9a-f]{4})(?::|$)", "$1")
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` computed once under ``name``; keeps plans small."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, which keeps plans small."""
-    return F.transform(F.array(value), body)[0]
+def _is_v4(addr: str) -> str:
+    return f"({addr} rlike '^{_DOTTED}$')"
 
 
-def _dotted_tail(base: Column) -> Column:
-    """``::ffff:1.2.3.4`` -> ``::ffff:0102:0304``."""
-    tail = F.substring_index(base, ":", -1)
-    head = F.substring(base, F.lit(1), F.length(base) - F.length(tail))
-    return _let(
-        _v4_hex(tail),
-        lambda h: F.concat(head, F.substring(h, 1, 4), F.lit(":"), F.substring(h, 5, 4)),
+def _v4_hex(addr: str) -> str:
+    octets = ", ".join(
+        f"lpad(hex(cast(split_part({addr}, '.', {i}) as bigint)), 2, '0')" for i in range(1, 5)
     )
+    return f"lower(concat({octets}))"
 
 
-def _v6_hex(base: Column) -> Column:
-    def short(plain: Column) -> Column:
-        return _let(
-            _padded(F.substring_index(plain, "::", 1)),
-            lambda left: _let(
-                _padded(F.substring_index(plain, "::", -1)),
-                # "::" stands for at least one hextet
-                lambda right: F.when(
-                    F.length(left) + F.length(right) <= 28,
-                    F.concat(F.rpad(left, F.lit(32) - F.length(right), F.lit("0")), right),
-                ),
-            ),
-        )
-
-    return _let(
-        F.when(base.rlike(_V4_TAIL_RE), _dotted_tail(base)).otherwise(base),
-        lambda plain: F.when(plain.rlike(_FULL_RE), _padded(plain)).when(
-            plain.rlike(_SHORT_RE), short(plain)
+def _padded(hextets: str) -> str:
+    """Colon-separated hextets -> their digits, each padded to four."""
+    wide = f"regexp_replace({hextets}, '([0-9a-f]+)', '000$1')"
+    return f"regexp_replace({wide}, '0*([0-9a-f]{{4}})(?::|$)', '$1')"
+
+
+def _address_hex(addr: str) -> str:
+    # "::" stands for at least one hextet, so at most seven are written out
+    short = _let(
+        _padded("substring_index(plain, '::', 1)"),
+        "lft",
+        _let(
+            _padded("substring_index(plain, '::', -1)"),
+            "rgt",
+            "if(length(lft) + length(rgt) <= 28, "
+            "concat(rpad(lft, 32 - length(rgt), '0'), rgt), null)",
         ),
     )
+    v6 = f"case when plain rlike '{_FULL}' then {_padded('plain')} when plain rlike '{_SHORT}' then {short} end"
+    dotted = _let(
+        _v4_hex("substring_index(base, ':', -1)"),
+        "tail",
+        "concat(substr(base, 1, length(base) - length(substring_index(base, ':', -1))), "
+        "substr(tail, 1, 4), ':', substr(tail, 5, 4))",
+    )
+    plain = f"if(base rlike '^[0-9a-f:]*:{_DOTTED}$', {dotted}, base)"
+    v6 = _let(f"lower(substring_index({addr}, '%', 1))", "base", _let(plain, "plain", v6))
+    return (
+        f"case when {_is_v4(addr)} then concat('{_MAPPED}', {_v4_hex(addr)}) "
+        f"when {addr} like '%:%' and not endswith({addr}, '%') then {v6} end"
+    )
 
 
-def address_hex(addr: Column) -> Column:
+def address_hex(addr: str) -> Column:
     """Address text -> 32 hex digits, NULL when it is not an address.
 
     A zone (``fe80::1%eth0``) is allowed on IPv6 only and has no part in the key.
     """
-    v6 = _let(F.lower(F.substring_index(addr, "%", 1)), _v6_hex)
-    return F.when(addr.rlike(V4_RE), F.concat(F.lit(_MAPPED), _v4_hex(addr))).when(
-        addr.contains(":") & ~addr.rlike("%$"), v6
-    )
+    return F.expr(_address_hex(addr))
 
 
-def address_key(addr: Column) -> Column:
+def address_key(addr: str) -> Column:
     """Address text -> 16-byte bucket key."""
-    return F.unhex(address_hex(addr))
+    return F.expr(f"unhex({_address_hex(addr)})")
 
 
-def address_family(addr: Column) -> Column:
+def address_family(addr: str) -> Column:
     """4 for dotted text, 6 for anything else that is an address (S12)."""
-    return F.when(addr.rlike(V4_RE), F.lit(4)).when(addr.contains(":"), F.lit(6))
+    return F.expr(f"case when {_is_v4(addr)} then 4 when {addr} like '%:%' then 6 end")
 
 
-def v4_text(hex32: Column) -> Column:
-    """Dotted text of the last 32 bits."""
-    return F.concat_ws(
-        ".",
-        *[F.conv(F.substring(hex32, 25 + 2 * i, 2), 16, 10) for i in range(4)],
-    )
+def _v4_text(hex32: str) -> str:
+    parts = ", ".join(f"conv(substr({hex32}, {25 + 2 * i}, 2), 16, 10)" for i in range(4))
+    return f"concat_ws('.', {parts})"
 
 
-def _shorten(joined: Column) -> Column:
-    """``:h:h:h:h:h:h:h:h:`` -> text with the first longest zero run as ``::``."""
-    text = None
+def _v6_text(hex32: str) -> str:
+    """Canonical text: lower case, the first longest zero run shortened."""
+    hextets = ", ".join(
+        f"regexp_replace(substr({hex32}, {1 + 4 * i}, 4), '^0{{1,3}}', '')" for i in range(8)
+    )
+    cases = []
     for n in range(8, 1, -1):
         run = ":" + "0:" * n
-        at = F.locate(run, joined)
-        before = F.substring(joined, F.lit(2), F.greatest(at - 2, F.lit(0)))
-        after = F.rtrim(F.substring(joined, at + len(run), F.lit(40)), F.lit(":"))
-        short = F.concat(before, F.lit("::"), after)
-        text = F.when(at > 0, short) if text is None else text.when(at > 0, short)
-    return text.otherwise(F.trim(joined, F.lit(":")))
-
-
-def v6_text(hex32: Column) -> Column:
-    """Canonical text: lower case, the longest run of zero hextets shortened."""
-    joined = F.concat(
-        F.lit(":"),
-        *[
-            F.concat(
-                F.regexp_replace(F.substring(hex32, 1 + 4 * i, 4), "^0{1,3}", ""),
-                F.lit(":"),
-            )
-            for i in range(8)
-        ],
+        at = f"locate('{run}', j)"
+        cases.append(
+            f"when {at} > 0 then concat(substr(j, 2, greatest({at} - 2, 0)), '::', "
+            f"rtrim(':', substr(j, {at} + {len(run)})))"
+        )
+    text = f"case {' '.join(cases)} else trim(BOTH ':' FROM j) end"
+    canonical = _let(f"concat(':', concat_ws(':', {hextets}), ':')", "j", text)
+    return (
+        f"if(startswith({hex32}, '{_MAPPED}'), concat('::ffff:', {_v4_text(hex32)}), {canonical})"
     )
-    return F.when(
-        hex32.startswith(_MAPPED), F.concat(F.lit("::ffff:"), v4_text(hex32))
-    ).otherwise(_let(joined, _shorten))
 
 
-def ban_prefix(hex32: Column, family: Column, v4_len: int, v6_len: int,
-               unmap_v4: bool = False) -> Column:
-    """Client network as text; host bits are kept, the zone is not."""
-    as_v4 = family == 4
+def v4_text(hex32: str) -> Column:
+    return F.expr(_v4_text(hex32))
+
+
+def v6_text(hex32: str) -> Column:
+    return F.expr(_v6_text(hex32))
+
+
+def ban_prefix(
+    key: str, family: str, v4_len: int, v6_len: int, unmap_v4: bool = False
+) -> Column:
+    """Network text for a 16-byte key; host bits are kept, the zone is not."""
+    as_v4 = f"{family} = 4"
     if unmap_v4:
-        as_v4 = as_v4 | hex32.startswith(_MAPPED)
-    return F.when(as_v4, F.concat(v4_text(hex32), F.lit(f"/{v4_len}"))).otherwise(
-        F.concat(v6_text(hex32), F.lit(f"/{v6_len}"))
+        as_v4 = f"({as_v4} or startswith(h, '{_MAPPED}'))"
+    text = (
+        f"if({as_v4}, concat({_v4_text('h')}, '/{v4_len}'), concat({_v6_text('h')}, '/{v6_len}'))"
     )
+    return F.expr(_let(f"lower(hex({key}))", "h", text))
 
 
-def parse_prefix(prefix: Column) -> Column:
+def parse_prefix(prefix: str) -> Column:
     """Prefix text -> struct(family, hex32, bits), NULL when it is not a prefix.
 
     ``bits`` counts from the start of the 128-bit form (IPv4 length + 96).
     """
-    addr = F.substring_index(prefix, "/", 1)
-    length = F.regexp_extract(prefix, r"^[^/%]+/(0|[1-9][0-9]{0,2})$", 1)
-    n = length.try_cast("int")
-    v4 = addr.rlike(V4_RE)
-    hex32 = address_hex(addr)
-    ok = hex32.isNotNull() & n.isNotNull() & (n <= F.when(v4, 32).otherwise(128))
-    return F.when(
-        ok,
-        F.struct(
-            F.when(v4, 4).otherwise(6).alias("family"),
-            hex32.alias("hex32"),
-            F.when(v4, n + 96).otherwise(n).alias("bits"),
-        ),
+    length = f"try_cast(regexp_extract({prefix}, '^[^/%]+/(0|[1-9][0-9]{{0,2}})$', 1) as int)"
+    made = (
+        "if(h is not null and n <= if(contains(a, ':'), 128, 32), "
+        "named_struct('family', if(contains(a, ':'), 6, 4), 'hex32', h, "
+        "'bits', if(contains(a, ':'), n, n + 96)), null)"
     )
+    body = _let(_address_hex("a"), "h", _let(length, "n", made))
+    return F.expr(_let(f"substring_index({prefix}, '/', 1)", "a", body))
 
 
-def _edge_digit(hex32: Column, bits: Column, high: bool) -> Column:
-    """The hex digit that the prefix end cuts through."""
-    rem = F.pmod(bits, F.lit(4))
-    digit = F.conv(
-        F.substring(hex32, F.floor(bits / 4).cast("int") + 1, F.lit(1)), 16, 10
-    ).cast("int")
-    free = F.expr("15") - F.when(rem == 0, 0).when(rem == 1, 8).when(rem == 2, 12).otherwise(14)
-    kept = digit.bitwiseAND(F.lit(15) - free)
-    return F.lower(F.hex((kept.bitwiseOR(free) if high else kept).cast("bigint")))
+def _edge(hex32: str, bits: str, high: bool) -> str:
+    """Hex digits up to and including the one that the prefix end cuts through."""
+    free = f"element_at(array(15, 7, 3, 1), {bits} % 4 + 1)"
+    digit = f"cast(conv(substr({hex32}, {bits} div 4 + 1, 1), 16, 10) as int)"
+    cut = f"(({digit} & (15 - {free})) {'| ' + free if high else ''})"
+    return f"concat(substr({hex32}, 1, cast({bits} div 4 as int)), lower(hex({cut})))"
 
 
-def range_lo(hex32: Column, bits: Column) -> Column:
+def range_lo(hex32: str, bits: str) -> Column:
     """First address of the prefix, 32 hex digits."""
-    whole = F.floor(bits / 4).cast("int")
-    return F.when(bits >= 128, hex32).otherwise(
-        F.rpad(F.concat(F.substring(hex32, F.lit(1), whole), _edge_digit(hex32, bits, False)), 32, "0")
-    )
+    return F.expr(f"if({bits} >= 128, {hex32}, rpad({_edge(hex32, bits, False)}, 32, '0'))")
 
 
-def range_hi(hex32: Column, bits: Column) -> Column:
+def range_hi(hex32: str, bits: str) -> Column:
     """Last address of the prefix, 32 hex digits."""
-    whole = F.floor(bits / 4).cast("int")
-    return F.when(bits >= 128, hex32).otherwise(
-        F.rpad(F.concat(F.substring(hex32, F.lit(1), whole), _edge_digit(hex32, bits, True)), 32, "f")
-    )
+    return F.expr(f"if({bits} >= 128, {hex32}, rpad({_edge(hex32, bits, True)}, 32, 'f'))")
 
 
-def successor(hex32: Column) -> Column:
+def successor(hex32: str) -> Column:
     """Next address as 33 hex digits, so that the last one has a successor too."""
-    head = F.regexp_replace(F.concat(F.lit("0"), hex32), "f+$", "")
-    last = F.translate(F.right(head, F.lit(1)), "0123456789abcde", "123456789abcdef")
-    return F.rpad(
-        F.concat(F.substring(head, F.lit(1), F.length(head) - 1), last), 33, "0"
+    body = (
+        "rpad(concat(substr(p, 1, length(p) - 1), "
+        "translate(right(p, 1), '0123456789abcde', '123456789abcdef')), 33, '0')"
     )
+    return F.expr(_let(f"rtrim('f', concat('0', {hex32}))", "p", body))
 
 
-def hex33_bits(hex33: Column) -> Column:
+def hex33_bits(hex33: str) -> Column:
     """33 hex digits -> 132 binary digits."""
-    pieces = [(1, 9), (10, 8), (18, 8), (26, 8)]
-    return F.concat(
-        *[F.lpad(F.conv(F.substring(hex33, at, n), 16, 2), 4 * n, "0") for at, n in pieces]
+    pieces = ((1, 9), (10, 8), (18, 8), (26, 8))
+    parts = ", ".join(
+        f"lpad(conv(substr({hex33}, {at}, {n}), 16, 2), {4 * n}, '0')" for at, n in pieces
     )
+    return F.expr(f"concat({parts})")
 
 
-def bits_hex32(bits132: Column) -> Column:
-    """132 binary digits (the first four zero) -> 32 hex digits."""
-    return F.lower(
-        F.concat(
-            *[
-                F.lpad(F.conv(F.substring(bits132, 5 + 32 * i, 32), 2, 16), 8, "0")
-                for i in range(4)
-            ]
-        )
+def bits_hex32(bits132: str) -> str:
+    """SQL text: 132 binary digits (the first four zero) -> 32 hex digits."""
+    parts = ", ".join(
+        f"lpad(conv(substr({bits132}, {5 + 32 * i}, 32), 2, 16), 8, '0')" for i in range(4)
     )
+    return f"lower(concat({parts}))"
 
 
-def prefix_text(family: Column, hex32: Column, bits: Column) -> Column:
+def prefix_text(family: str, hex32: str, bits: str) -> Column:
     """Prefix text of the shared 128-bit form."""
-    return F.when(
-        family == 4, F.concat(v4_text(hex32), F.lit("/"), (bits - 96).cast("string"))
-    ).otherwise(F.concat(v6_text(hex32), F.lit("/"), bits.cast("string")))
+    return F.expr(
+        f"if({family} = 4, concat({_v4_text(hex32)}, '/', {bits} - 96), "
+        f"concat({_v6_text(hex32)}, '/', {bits}))"
+    )

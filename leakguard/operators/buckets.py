@@ -255,10 +255,9 @@ def ban_records(hits: DataFrame, measures: list[Measure], th: Thresholds) -> Dat
     blame = F.when(F.lit(False), F.lit(""))
     for i, m in enumerate(measures):
         blame = blame.when(F.col("measure") == i, F.lit(m.blame))
-    hex32 = F.lower(F.hex("client_key"))
     return hits.select(
         *[c for c in hits.columns if c not in ("family", "measure", "expires_us")],
-        ban_prefix(hex32, F.col("family"), th.v4_prefix, th.v6_prefix, th.unmap_v4).alias("prefix"),
+        ban_prefix("client_key", "family", th.v4_prefix, th.v6_prefix, th.unmap_v4).alias("prefix"),
         blame.alias("blame"),
         F.timestamp_micros("expires_us").alias("expires_at"),
     )

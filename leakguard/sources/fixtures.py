@@ -25,126 +25,94 @@ _PATH_RE = "^[a-z]+://[^/]+(/[^?#]*)"
 _HOST_RE = "^[a-z]+://([^/]+)"
 
 
+# Given schemas spare a metadata job per read.
+_TABLES = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages")
-    return pages.select(
+    return _table(spark, sf_dir, "pages").selectExpr(
         "page_id",
-        F.regexp_extract("url", _PATH_RE, 1).alias("url"),
-        F.regexp_extract("url", _HOST_RE, 1).alias("host"),
+        f"regexp_extract(url, '{_PATH_RE}', 1) as url",
+        f"regexp_extract(url, '{_HOST_RE}', 1) as host",
     )
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _table(spark, sf_dir, "events")
-    hours = F.expr("unix_seconds(cast(ts as timestamp)) div 3600")
-    c = F.pmod("user_id", F.lit(16))
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    return ev.select(
-        F.col("event_id").alias("seq"),
-        (hours - EPOCH_HOURS).alias("sec"),
-        F.pmod("event_id", F.lit(1000)).alias("ms"),
-        F.when(c < 12, F.concat(F.lit("198.51."), (c + 100).cast("string"), F.lit(".7")))
-        .otherwise(F.concat(F.lit("2001:db8:"), F.lower(F.hex(c)), F.lit("::1")))
-        .alias("client"),
-        F.when(F.col("event_type").isin("click", "view"), "GET")
-        .when(F.col("event_type") == "purchase", "POST")
-        .when(F.col("event_type") == "signup", "PUT")
-        .otherwise("HEAD")
-        .alias("method"),
-        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
-        F.round(F.col("value") * 1000).cast("bigint").alias("sent"),
-        k.alias("k"),
-        (k % 50).alias("page_id"),
+    """Events with the record fields they stand for, joined to their page."""
+    ev = _table(spark, sf_dir, "events").selectExpr(
+        "event_id as seq",
+        # hours replayed as seconds: the real gaps are too long to fill a bucket
+        f"unix_seconds(cast(ts as timestamp)) div 3600 - {EPOCH_HOURS} + {EPOCH_S} as epoch_s",
+        "event_id % 1000 as ms",
+        "if(user_id % 16 < 12, concat('198.51.', user_id % 16 + 100, '.7'), "
+        "concat('2001:db8:', lower(hex(user_id % 16)), '::1')) as client",
+        "case when event_type in ('click', 'view') then 'GET' when event_type = 'purchase' then 'POST' "
+        "when event_type = 'signup' then 'PUT' else 'HEAD' end as method",
+        "if(event_type = 'error', 500, 200) as status",
+        "cast(round(value * 1000) as bigint) as sent",
+        "cast(get_json_object(props, '$.k') as bigint) as k",
     )
+    ev = ev.selectExpr("*", "k % 50 as page_id", "concat('agent-', k % 7) as agent")
+    return ev.join(page_paths(spark, sf_dir), "page_id")
 
 
 def requests(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
     """Typed requests; ``late`` moves some events back by five seconds."""
-    ev = _events(spark, sf_dir).join(page_paths(spark, sf_dir), "page_id")
-    sec = F.col("sec")
-    if late:
-        sec = F.when(F.col("seq") % 50 == 7, sec - 5).otherwise(sec)
-    micros = (sec + EPOCH_S) * 1_000_000 + F.col("ms") * 1000
-    return ev.select(
-        "seq",
-        F.timestamp_micros(micros.cast("bigint")).alias("time"),
-        "client",
-        address_key(F.col("client")).alias("client_key"),
-        address_family(F.col("client")).alias("family"),
-        F.lit("203.0.113.1").alias("server"),
-        "method",
-        "url",
-        "status",
-        "sent",
-        (F.col("k") * 1000).alias("duration_us"),
-        "host",
-        F.concat(F.lit("agent-"), (F.col("k") % 7).cast("string")).alias("agent"),
+    sec = "if(seq % 50 = 7, epoch_s - 5, epoch_s)" if late else "epoch_s"
+    typed = _events(spark, sf_dir).selectExpr(
+        "*",
+        f"timestamp_micros({sec} * 1000000 + ms * 1000) as time",
+        "'203.0.113.1' as server",
+        "k * 1000 as duration_us",
+    )
+    return typed.withColumns(
+        {"client_key": address_key("client"), "family": address_family("client")}
     ).select(*REQUEST_COLUMNS)
 
 
-def clean_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seq`` and the JSON record of every event, as the web server writes it."""
-    ev = _events(spark, sf_dir).join(page_paths(spark, sf_dir), "page_id")
-    return ev.select(
-        "seq",
-        _json_line(
-            F.concat(
-                (F.col("sec") + EPOCH_S).cast("string"), F.lit("."), F.lpad(F.col("ms").cast("string"), 3, "0")
-            ),
-            F.col("client"),
-            F.format_string("0.%03d", F.col("k")),
-        ).alias("line"),
+_TIME_TEXT = "concat(epoch_s, '.', lpad(ms, 3, '0'))"
+_DURATION_TEXT = "concat('0.', lpad(k, 3, '0'))"
+
+
+def _json_line(time: str, client: str, duration: str) -> str:
+    return (
+        f"to_json(struct({time} as time, {client} as client, '203.0.113.1' as server, method, url, "
+        f"status, sent, {duration} as duration, host, agent))"
     )
 
 
-def _json_line(time, client, duration):
-    return F.to_json(
-        F.struct(
-            time.alias("time"),
-            client.alias("client"),
-            F.lit("203.0.113.1").alias("server"),
-            "method",
-            "url",
-            "status",
-            "sent",
-            duration.alias("duration"),
-            "host",
-            F.concat(F.lit("agent-"), (F.col("k") % 7).cast("string")).alias("agent"),
-        )
+def clean_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq`` and the JSON record of every event, as the web server writes it."""
+    return _events(spark, sf_dir).selectExpr(
+        "seq", f"{_json_line(_TIME_TEXT, 'client', _DURATION_TEXT)} as line"
     )
 
 
 def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seq`` and a syslog line per event, some of them damaged."""
-    ev = _events(spark, sf_dir).join(page_paths(spark, sf_dir), "page_id")
-    seq = F.col("seq")
-    junk, bad_client, bad_time, bad_duration = (
-        seq % 97 == 0,
-        seq % 101 == 0,
-        seq % 103 == 0,
-        seq % 107 == 0,
-    )
-    good_time = F.concat(
-        (F.col("sec") + EPOCH_S).cast("string"), F.lit("."), F.lpad(F.col("ms").cast("string"), 3, "0")
+    """``seq`` and a syslog line per event; the first matching damage applies."""
+    body = _json_line(
+        f"if(damage = 'time', 'abc', {_TIME_TEXT})",
+        "if(damage = 'client', '999.1.1.1', client)",
+        f"if(damage = 'duration', 'x', {_DURATION_TEXT})",
     )
-    body = F.when(junk, "not json").otherwise(
-        _json_line(
-            F.when(~bad_client & bad_time, "abc").otherwise(good_time),
-            F.when(bad_client, "999.1.1.1").otherwise(F.col("client")),
-            F.when(~bad_client & ~bad_time & bad_duration, "x").otherwise(
-                F.format_string("0.%03d", F.col("k"))
-            ),
-        )
+    damaged = _events(spark, sf_dir).selectExpr(
+        "*",
+        "case when seq % 97 = 0 then 'json' when seq % 101 = 0 then 'client' "
+        "when seq % 103 = 0 then 'time' when seq % 107 = 0 then 'duration' else '' end as damage",
     )
-    return ev.select(
+    return damaged.selectExpr(
         "seq",
-        F.when(seq % 2 == 1, F.concat(F.lit("<134>Jan  1 00:00:00 edge nginx: "), body))
-        .otherwise(F.concat(F.lit("<134>1 2024-01-01T00:00:00Z edge nginx - - - "), body))
-        .alias("line"),
+        "concat(if(seq % 2 = 1, '<134>Jan  1 00:00:00 edge nginx: ', "
+        "'<134>1 2024-01-01T00:00:00Z edge nginx - - - '), "
+        f"if(damage = 'json', 'not json', {body})) as line",
     )
 
 
