@@ -45,7 +45,7 @@ def bucket_rule(measures: list[Measure], floor: bool) -> kernel.Rule:
     )
 
 
-def _narrow(events: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
+def narrow_events(events: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
     """Only what the bucket rule reads."""
     costs = [F.col(m.cost).cast("bigint").alias(m.cost) for m in measures]
     return with_seconds(events).select(
@@ -183,7 +183,7 @@ def _prepare(
     idle_reset_s: int | None,
     limit: int | None,
 ) -> tuple[DataFrame, bool, list[str]]:
-    rows = _narrow(events, keys, measures)
+    rows = narrow_events(events, keys, measures)
     if idle_reset_s is not None:
         rows = sessions(rows, keys, idle_reset_s, limit)
         keys = [*keys, "session"]

@@ -113,6 +113,9 @@ def lookup_join(
     spark = left.sparkSession
     if is_small(right, small_limit):
         return left.join(F.broadcast(right), key, how)
+    if left.isStreaming:
+        # a micro-batch is bounded by its trigger; its keys cannot be counted ahead
+        return left.join(right, key, how)
     limit = hot_limit or hot_rows_limit(spark)
     hot = hot_keys(left.filter(F.col(key).isNotNull()), [key], limit)
     if hot is None:

@@ -93,6 +93,16 @@ def unpack_syslog(lines: DataFrame) -> DataFrame:
     return lines.withColumn("body", syslog_body(F.col("line")))
 
 
+def _computed(frame: DataFrame, **columns) -> DataFrame:
+    """Add columns through a generator.
+
+    Unlike a projection it is never copied into the filters and projections
+    above it, so an expensive decode runs once per line.
+    """
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return frame.select("*", F.inline(F.array(made)))
+
+
 @parser("nginx")
 def parse_nginx(lines: DataFrame, body: str) -> DataFrame:
     """Decode the JSON record in ``body``; add request columns and ``reject_reason``."""
@@ -103,39 +113,31 @@ def parse_nginx(lines: DataFrame, body: str) -> DataFrame:
         spec,
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"},
     )
-    decoded = lines.withColumn("_r", record)
-    broken = F.col("_r").isNull() | F.col("_r._broken").isNotNull()
-    decoded = decoded.withColumns(
-        {
-            "_client_hex": address_hex("_r.client"),
-            "_server_hex": address_hex("_r.server"),
-            "time": epoch_time(F.col("_r.time")),
-            "_broken": broken,
-        }
+    decoded = _computed(lines, _r=record)
+    decoded = _computed(
+        decoded,
+        _client_hex=address_hex("_r.client"),
+        _server_hex=address_hex("_r.server"),
+        time=epoch_time(F.col("_r.time")),
     )
     reason = (
         F.when(F.col(body).isNull(), "unpack")
-        .when(F.col("_broken"), "json")
+        .when(F.col("_r").isNull() | F.col("_r._broken").isNotNull(), "json")
         .when(F.col("_client_hex").isNull(), "client")
         .when(F.col("_server_hex").isNull(), "server")
         .when(F.col("time").isNull(), "time")
     )
-    return decoded.withColumns(
-        {
-            "reject_reason": reason,
-            "client": F.col("_r.client"),
-            "client_key": F.unhex("_client_hex"),
-            "family": address_family("_r.client"),
-            "server": F.col("_r.server"),
-            "method": F.col("_r.method"),
-            "url": F.col("_r.url"),
-            "status": F.coalesce(F.col("_r.status"), F.lit(0)),
-            "sent": F.coalesce(F.col("_r.sent"), F.lit(0).cast("bigint")),
-            "duration_us": seconds_to_us(F.col("_r.duration")),
-            "host": F.col("_r.host"),
-            "agent": F.col("_r.agent"),
-        }
-    ).drop("_r", "_client_hex", "_server_hex", "_broken")
+    return decoded.select(
+        *lines.columns,
+        reason.alias("reject_reason"),
+        "time",
+        F.unhex("_client_hex").alias("client_key"),
+        address_family("_r.client").alias("family"),
+        F.coalesce(F.col("_r.status"), F.lit(0)).alias("status"),
+        F.coalesce(F.col("_r.sent"), F.lit(0).cast("bigint")).alias("sent"),
+        seconds_to_us(F.col("_r.duration")).alias("duration_us"),
+        *[f"_r.{name}" for name in ("client", "server", "method", "url", "host", "agent")],
+    )
 
 
 def decode_lines(
