@@ -111,6 +111,8 @@ def detect_stream(
     """
     spark = lines.sparkSession
     use_rocksdb(spark)
+    # no timers and no watermark here: a batch without data has nothing to do
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     requests = accepted(decode_lines(lines, format, envelope))
     fresh = inventory if isinstance(inventory, FreshInventory) else None
     files = fresh.frame if fresh else inventory
