@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from leakguard.schemas import RATIO_UNIT
 
-_ROUTE_RE = r"^/?([^/]*)(/(?s:.*))$"
+# The first slash is taken for good, so that "/en" has no second one.
+_ROUTE_RE = r"^/?+([^/]*)(/(?s:.*))$"
 
 SIZE = "SIZE"
 EMPTY = "EMPTY"

@@ -96,6 +96,10 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+# Rows without a key match nothing; this many salts spread them.
+_NULL_SALTS = 4096
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -107,38 +111,29 @@ def lookup_join(
     """Join against a table that is unique by ``key``.
 
     A right side of checked size is broadcast.  Otherwise both sides are
-    shuffled, with left rows of a hot key spread over salted copies of its
-    single right row.
+    shuffled: left rows of a hot key are spread over salted copies of its single
+    right row, and left rows without a key are spread at random.
     """
-    spark = left.sparkSession
     if is_small(right, small_limit):
         return left.join(F.broadcast(right), key, how)
-    if left.isStreaming:
-        # a micro-batch is bounded by its trigger; its keys cannot be counted ahead
-        return left.join(right, key, how)
-    limit = hot_limit or hot_rows_limit(spark)
-    hot = hot_keys(left.filter(F.col(key).isNotNull()), [key], limit)
+    # a micro-batch is bounded by its trigger and cannot be counted ahead
+    limit = hot_limit or hot_rows_limit(left.sparkSession)
+    known = left.filter(F.col(key).isNotNull())
+    hot = None if left.isStreaming else hot_keys(known, [key], limit)
+    any_salt = F.xxhash64("seq")
+    salt = F.when(F.col(key).isNull(), F.pmod(any_salt, F.lit(_NULL_SALTS)))
     if hot is None:
-        return left.join(right, key, how)
-    copies = hot.select(key, F.ceil(F.col("hot_n") / F.lit(limit)).cast("int").alias("_copies"))
-    spread = (
-        left.join(F.broadcast(copies), key, "left")
-        .withColumn(
-            "_salt",
-            F.when(
-                F.col("_copies") > 1, F.pmod(F.xxhash64("seq"), F.col("_copies")).cast("int")
-            ).otherwise(0),
+        spread = left.withColumn("_salt", salt.otherwise(0).cast("int"))
+        copied = right.withColumn("_salt", F.lit(0))
+    else:
+        copies = F.broadcast(hot.select(key, F.ceil(F.col("hot_n") / F.lit(limit)).alias("_copies")))
+        salt = salt.when(F.col("_copies") > 1, F.pmod(any_salt, F.col("_copies")))
+        spread = left.join(copies, key, "left").withColumn("_salt", salt.otherwise(0).cast("int"))
+        last = F.coalesce(F.col("_copies"), F.lit(1)).cast("int") - 1
+        copied = right.join(copies, key, "left").withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), last))
         )
-        .drop("_copies")
-    )
-    copied = (
-        right.join(F.broadcast(copies), key, "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1)),
-        )
-        .drop("_copies")
-    )
+        spread, copied = spread.drop("_copies"), copied.drop("_copies")
     return spread.join(copied, [key, "_salt"], how).drop("_salt")
 
 

@@ -38,11 +38,12 @@ req AS (
          (k * 1000)::BIGINT AS duration_us, pg.host, 'agent-' || (k % 7) AS agent
   FROM ev JOIN pg ON pg.page_id = k % 50),
 parts AS (
-  SELECT *, CASE WHEN regexp_matches(url, '^/?[^/]*/') THEN regexp_extract(url, '^/?([^/]*)(/.*)$', 1) END AS tag,
-         CASE WHEN regexp_matches(url, '^/?[^/]*/') THEN regexp_extract(url, '^/?([^/]*)(/.*)$', 2) END AS rest
-  FROM req),
-tags AS (SELECT DISTINCT regexp_extract(url, '^/?([^/]*)(/.*)$', 1) AS tag FROM pg
-         WHERE regexp_matches(url, '^/?[^/]*/')),
+  SELECT * EXCLUDE (bare), CASE WHEN strpos(bare, '/') > 0 THEN substr(bare, 1, strpos(bare, '/') - 1) END AS tag,
+         CASE WHEN strpos(bare, '/') > 0 THEN substr(bare, strpos(bare, '/')) END AS rest
+  FROM (SELECT *, CASE WHEN url[1] = '/' THEN url[2:] ELSE url END AS bare FROM req)),
+tags AS (SELECT DISTINCT split_part(bare, '/', 1) AS tag
+         FROM (SELECT CASE WHEN url[1] = '/' THEN url[2:] ELSE url END AS bare FROM pg)
+         WHERE strpos(bare, '/') > 0),
 routes AS (SELECT tag, '/data/' || tag AS root FROM tags WHERE tag <> 'de'),
 inv AS (
   SELECT '/data' || url AS path, max(bytes) AS size, min(page_id) % 33 = 7 AS is_dir
