@@ -18,17 +18,16 @@ RFC3164_RE = (
 _SECONDS_RE = r"^[+-]?[0-9]{1,11}(?:\.[0-9]{1,9})?$"
 
 
-def syslog_content(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, RFC3164_RE, 1), F.lit(""))
-
-
-def syslog_message(line: Column) -> Column:
-    return F.nullif(F.regexp_extract(line, RFC5424_RE, 1), F.lit(""))
+def syslog_text(line: Column) -> Column:
+    """Body of a syslog line, empty when no header layout matches."""
+    return F.when(
+        line.rlike("^(?:[0-9]+ )?<[0-9]{1,3}>1 "), F.regexp_extract(line, RFC5424_RE, 1)
+    ).otherwise(F.regexp_extract(line, RFC3164_RE, 1))
 
 
 def syslog_body(line: Column) -> Column:
     """Body of a syslog line, NULL when no header layout matches."""
-    return F.coalesce(syslog_content(line), syslog_message(line))
+    return F.nullif(syslog_text(line), F.lit(""))
 
 
 def seconds_to_us(text: Column) -> Column:

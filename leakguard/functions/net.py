@@ -30,42 +30,47 @@ def _is_v4(addr: str) -> str:
 
 
 def _v4_hex(addr: str) -> str:
-    octets = ", ".join(
-        f"lpad(hex(cast(split_part({addr}, '.', {i}) as bigint)), 2, '0')" for i in range(1, 5)
-    )
-    return f"lower(concat({octets}))"
+    """Eight hex digits of dotted text."""
+    octets = [
+        f"substring_index({addr}, '.', 1)",
+        f"substring_index(substring_index({addr}, '.', 2), '.', -1)",
+        f"substring_index(substring_index({addr}, '.', -2), '.', 1)",
+        f"substring_index({addr}, '.', -1)",
+    ]
+    n = " + ".join(f"try_cast({o} as bigint) * {256 ** (3 - i)}" for i, o in enumerate(octets))
+    return f"lpad(lower(hex({n})), 8, '0')"
 
 
 def _padded(hextets: str) -> str:
     """Colon-separated hextets -> their digits, each padded to four."""
-    wide = f"regexp_replace({hextets}, '([0-9a-f]+)', '000$1')"
-    return f"regexp_replace({wide}, '0*([0-9a-f]{{4}})(?::|$)', '$1')"
+    digits = f"array_join(transform(split({hextets}, ':'), x -> lpad(x, 4, '0')), '')"
+    return f"if({hextets} = '', '', {digits})"
 
 
-def _address_hex(addr: str) -> str:
-    # "::" stands for at least one hextet, so at most seven are written out
-    short = _let(
-        _padded("substring_index(plain, '::', 1)"),
-        "lft",
-        _let(
-            _padded("substring_index(plain, '::', -1)"),
-            "rgt",
-            "if(length(lft) + length(rgt) <= 28, "
-            "concat(rpad(lft, 32 - length(rgt), '0'), rgt), null)",
-        ),
-    )
-    v6 = f"case when plain rlike '{_FULL}' then {_padded('plain')} when plain rlike '{_SHORT}' then {short} end"
-    dotted = _let(
-        _v4_hex("substring_index(base, ':', -1)"),
-        "tail",
-        "concat(substr(base, 1, length(base) - length(substring_index(base, ':', -1))), "
-        "substr(tail, 1, 4), ':', substr(tail, 5, 4))",
+def _v6_hex(base: str) -> str:
+    """32 hex digits of lower-case text without dots; "::" is at least one hextet."""
+    left = _padded(f"substring_index({base}, '::', 1)")
+    right = _padded(f"substring_index({base}, '::', -1)")
+    colons = f"(length({base}) - length(replace({base}, ':', '')))"
+    edges = f"(if(startswith({base}, '::'), 1, 0) + if(endswith({base}, '::'), 1, 0))"
+    return (
+        f"case when {base} rlike '{_FULL}' then {_padded(base)} "
+        f"when {base} rlike '{_SHORT}' and {colons} - {edges} <= 7 "
+        f"then concat(rpad({left}, 32 - length({right}), '0'), {right}) end"
     )
-    plain = f"if(base rlike '^[0-9a-f:]*:{_DOTTED}$', {dotted}, base)"
-    v6 = _let(f"lower(substring_index({addr}, '%', 1))", "base", _let(plain, "plain", v6))
+
+
+def _address_hex(addr: str) -> str:
+    # runs per log line: no regex replacement unless the address is dotted IPv6
+    base = f"lower(substring_index({addr}, '%', 1))"
+    tail = f"substring_index({base}, ':', -1)"
+    dotted = f"contains({addr}, '.')"
+    # a dotted tail stands for the last two hextets
+    plain = f"if({dotted}, regexp_replace({base}, '(?<=:){_DOTTED}$', '0:0'), {base})"
+    v6 = f"concat(left({_v6_hex(plain)}, if({dotted}, 24, 32)), if({dotted}, {_v4_hex(tail)}, ''))"
     return (
         f"case when {_is_v4(addr)} then concat('{_MAPPED}', {_v4_hex(addr)}) "
-        f"when {addr} like '%:%' and not endswith({addr}, '%') then {v6} end"
+        f"when contains({addr}, ':') and not endswith({addr}, '%') then {v6} end"
     )
 
 

@@ -7,13 +7,14 @@ together again, never sampled or cut.
 from __future__ import annotations
 
 import tempfile
+from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS_CONF = "leakguard.hot.rows"
 BROADCAST_ROWS_CONF = "leakguard.broadcast.rows"
-DEFAULT_HOT_ROWS = 1 << 20
+DEFAULT_HOT_ROWS = 1 << 22
 DEFAULT_BROADCAST_ROWS = 200_000
 # Rows of the hot-key list that may pass through the driver.  A key beyond the
 # list stays in one group; with N rows it has at most N / MAX_HOT_KEYS of them.
@@ -49,19 +50,40 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_PROBES: OrderedDict = OrderedDict()
+_MAX_PROBES = 512
+
+
+def _probe(df: DataFrame, what: tuple, ask):
+    """Answer of ``ask()`` about ``df``, remembered for the same plan and input size.
+
+    Several operators ask the same question about the same frame.  The answer
+    only steers how work is spread, never what the result is.  Appended input
+    changes the size, so it is asked again.
+    """
+    size = str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), size, what)
+    if key not in _PROBES:
+        _PROBES[key] = ask()
+        while len(_PROBES) > _MAX_PROBES:
+            _PROBES.popitem(last=False)
+    return _PROBES[key]
+
+
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows (column ``hot_n``), or None.
 
     Reads only the key columns and counts map-side first.
     """
+    wanted = df.select(*keys)
     heavy = (
-        df.groupBy(*keys)
+        wanted.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("hot_n"))
         .filter(F.col("hot_n") > limit)
         .orderBy(F.desc("hot_n"))
         .limit(MAX_HOT_KEYS)
     )
-    rows = heavy.collect()
+    rows = _probe(wanted, ("hot", limit), heavy.collect)
     if not rows:
         return None
     return df.sparkSession.createDataFrame(rows, heavy.schema)
@@ -93,7 +115,7 @@ def group_columns(keys: list[str], hot: bool) -> list[str]:
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
     limit = broadcast_rows_limit(df.sparkSession) if limit is None else limit
-    return df.limit(limit + 1).count() <= limit
+    return _probe(df, ("small", limit), lambda: df.limit(limit + 1).count() <= limit)
 
 
 # Rows without a key match nothing; this many salts spread them.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leakguard.functions.fields import epoch_time, seconds_to_us, syslog_body
+from leakguard.functions.fields import epoch_time, seconds_to_us, syslog_text
 from leakguard.functions.net import address_family, address_hex
 from leakguard.schemas import LOG_RECORD, REQUEST_COLUMNS
 
@@ -88,11 +88,6 @@ def read_log_lines(
     return READERS[format](spark, path, stream, **options)
 
 
-def unpack_syslog(lines: DataFrame) -> DataFrame:
-    """Add ``body``: the message without its syslog header, NULL without one."""
-    return lines.withColumn("body", syslog_body(F.col("line")))
-
-
 def _computed(frame: DataFrame, **columns) -> DataFrame:
     """Add columns through a generator.
 
@@ -103,17 +98,20 @@ def _computed(frame: DataFrame, **columns) -> DataFrame:
     return frame.select("*", F.inline(F.array(made)))
 
 
+def unpack_syslog(lines: DataFrame) -> DataFrame:
+    """Add ``body``: the message without its syslog header, NULL without one."""
+    text = _computed(lines, _text=syslog_text(F.col("line")))
+    return text.select(*lines.columns, F.nullif("_text", F.lit("")).alias("body"))
+
+
 @parser("nginx")
 def parse_nginx(lines: DataFrame, body: str) -> DataFrame:
     """Decode the JSON record in ``body``; add request columns and ``reject_reason``."""
     spec = T.StructType([*LOG_RECORD.fields, T.StructField("_broken", T.StringType())])
-    text = F.trim(F.col(body))
-    record = F.from_json(
-        F.when(text.rlike(r"(?s)^\{.*\}$"), text),
-        spec,
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"},
-    )
-    decoded = _computed(lines, _r=record)
+    # JSON readers stop after the first value; text behind the record breaks the line
+    whole = F.when(F.endswith(F.rtrim(body), F.lit("}")), F.col(body))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    decoded = _computed(lines, _r=F.from_json(whole, spec, options))
     decoded = _computed(
         decoded,
         _client_hex=address_hex("_r.client"),

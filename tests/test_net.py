@@ -26,7 +26,7 @@ GOOD = [
 BAD = [
     "", "01.2.3.4", "1.2.3", "1.2.3.4.5", "256.1.1.1", "unix:", "1.2.3.4%eth0", ":::", "1::2::3",
     "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", "g::1", "fe80::1%", "::1.2.3", "1:2:3:4:5:6:7:8::",
-    "1.2.3.4 ", "999.1.1.1",
+    "1.2.3.4 ", "999.1.1.1", "::x.y", "a.b:c.d", "::99999999999999999999.1.1.1", ":1.2.3.4", ".:.",
 ]
 
 
