@@ -114,8 +114,6 @@ def test_tiles_equal_collapse(spark, version):
     off = 0xFFFF00000000 if version == 4 else 0
     for n in range(200):
         nets = list(ipaddress.collapse_addresses(random_prefixes(rng, version)))
-        for net_ in nets:
-            pass
         islands = []
         for net_ in sorted(nets):
             s, e = int(net_.network_address), int(net_.broadcast_address) + 1

@@ -2,6 +2,7 @@
 
 import os
 import uuid
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,12 +11,7 @@ from leakguard.operators import buckets, resolve
 from leakguard.operators.bans import BanTable
 from leakguard.sources import fixtures as fx
 from leakguard.sources.lines import parse_lines, read_log_lines
-from leakguard.streaming.detect import (
-    FreshInventory,
-    detect_stream,
-    quarantine_stream,
-)
-from dataclasses import replace
+from leakguard.streaming.detect import FreshInventory, detect_stream, quarantine_stream
 
 
 def land(spark, sf_dir, path, files):
