@@ -3,11 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from leakguard.plans.catalog import QUERIES
+from oracles import ORACLES
 from tests.compare import compare, connect
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
