@@ -58,11 +58,12 @@ class _Writer:
         begin = self.written + self.held
         self.parts.append(ids)
         self.held += len(ids)
-        if self.held >= self.length * SEQUENCES_PER_BATCH:
+        step = self.length * SEQUENCES_PER_BATCH
+        if self.held >= step:
             flat = np.concatenate(self.parts)
-            full = len(flat) // self.length * self.length
-            for i in range(0, full, self.length * SEQUENCES_PER_BATCH):
-                self._put(flat[i : min(full, i + self.length * SEQUENCES_PER_BATCH)])
+            full = len(flat) // step * step
+            for i in range(0, full, step):
+                self._put(flat[i : i + step])
             self.parts, self.held = [flat[full:]], len(flat) - full
         return begin
 
