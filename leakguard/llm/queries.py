@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakguard.llm import exact_dedup, mixing, packing, token_files
+from leakguard.llm import dart_minhash, exact_dedup, mixing, packing, token_files
 from leakguard.llm.shared import new_path, table
 from leakguard.llm.tokens import tokenizer_path
 
@@ -17,6 +17,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, folder)
 
 
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = dart_minhash.near_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
@@ -29,12 +34,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "copy", "mix_key")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op4_dart_minhash": op4_dart_minhash,
     "op6_packing": op6_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
