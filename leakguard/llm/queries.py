@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakguard.llm import dart_minhash, exact_dedup, mixing, packing, token_files
+from leakguard.llm import dart_minhash, exact_dedup, mixing, packing, token_files, toxicity
 from leakguard.llm.shared import new_path, table
 from leakguard.llm.tokens import tokenizer_path
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +42,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_files": op3_token_files,
     "op4_dart_minhash": op4_dart_minhash,
     "op6_packing": op6_packing,
