@@ -24,9 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(worker)
 
 # Pieces remembered by a worker: two generations of this many.
-GENERATION = 250_000
-# Characters encoded at a time.
-CHUNK_CHARS = 1_000_000
+GENERATION = 300_000
 _SAFE_CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 # Letters with punctuation behind them are a token each under the splitting rule of
 # either known kind; a single line end between such parts is a third or dropped.
@@ -71,6 +69,30 @@ def _safe(piece: str) -> bool:
     return ("!" <= first <= "~" or first.isalnum()) and ("!" <= last <= "~" or last.isalnum())
 
 
+class _Pieces(dict):
+    """Ids of pieces behind a space; ``unsafe`` is set when one may not stand alone."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.old, self.unsafe = learn, {}, False
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+            if ids is None:
+                self.unsafe = True
+                return b""
+        self[piece] = ids
+        return ids
+
+    def age(self, generation: int) -> None:
+        """Forget pieces not seen for two generations."""
+        if len(self) > generation:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -80,8 +102,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.generation = generation
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces = _Pieces(self._behind_space)
         self.words: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -91,6 +112,10 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _model(self, shown: str) -> bytes:
+        """Ids of one token of the splitting rule, written in byte letters."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def _part(self, part: str, before: str, seen: dict[str, bytes]) -> bytes | None:
         """Ids of letters with punctuation behind them; None for anything else."""
         word = part.rstrip(_MARKS)
@@ -109,71 +134,48 @@ class PieceEncoder:
             self.marks[marks] = self._model(marks)
         return ids + self.marks[marks]
 
-    def _model(self, shown: str) -> bytes:
-        """Ids of one token of the splitting rule, written in byte letters."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-
-    def _lines(self, piece: str) -> bytes | None:
-        """Ids of parts between single line ends, the first behind a space."""
-        parts = piece.split("\n")
-        out = [self._part(parts[0], self.rule[0], self.words)]
-        out += [self._part(x, "", self.bare) for x in parts[1:]]
-        return None if None in out else self.line.join(out)
-
-    def _learn(self, pieces: set[str]) -> tuple[dict[str, bytes], set[str]]:
-        """Ids behind a space of the pieces that may stand alone, and the other pieces."""
-        if len(self.young) > self.generation:
-            self.old, self.young = self.young, {}
+    def _behind_space(self, piece: str) -> bytes | None:
+        """Ids of a piece behind a space; None if it may not stand alone."""
+        if self.rule:
+            before = self.rule[0]
+            if "\n" in piece:
+                first, *rest = piece.split("\n")
+                parts = [self._part(first, before, self.words), *(self._part(x, "", self.bare) for x in rest)]
+                if None not in parts:
+                    return self.line.join(parts)
+            else:
+                ids = self._part(piece, before, self.words)
+                if ids is not None:
+                    return ids
+        return self._whole(" " + piece) if _safe(piece) else None
+
+    def encode(self, text: str) -> bytes:
+        pieces = self.pieces
+        first, *rest = text.split(" ")
+        pieces.unsafe = False
+        ids = b"".join(map(pieces.__getitem__, rest))
+        if pieces.unsafe:
+            first, *rest = _SAFE_CUT.split(text)
+            ids = b"".join([pieces[p] if p in pieces else self._whole(" " + p) for p in rest])
+        start = self._part(first, "", self.bare) if self.rule else None
+        return (self._whole(first) if start is None else start) + ids
+
+    def age(self) -> None:
+        self.pieces.age(self.generation)
         if len(self.words) + len(self.bare) > self.generation:
             self.words, self.bare, self.marks = {}, {}, {}
-        known, unsafe, young, old = {}, set(), self.young, self.old
-        for p in pieces:
-            ids = young.get(p)
-            if ids is None:
-                ids = old.get(p)
-                if ids is None:
-                    if self.rule:
-                        ids = self._part(p, self.rule[0], self.words)
-                        if ids is None and "\n" in p:
-                            ids = self._lines(p)
-                    if ids is None:
-                        if not _safe(p):
-                            unsafe.add(p)
-                            continue
-                        ids = self._whole(" " + p)
-                young[p] = ids
-            known[p] = ids
-        return known, unsafe
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        known, unsafe = self._learn(set().union(*cut))
-        if unsafe:
-            whole = [i for i, words in enumerate(cut) if not unsafe.isdisjoint(words)]
-            for i in whole:
-                cut[i] = _SAFE_CUT.split(texts[i])
-            for p in set().union(*(cut[i] for i in whole)):
-                known[p] = known[p] if p in known else self._whole(" " + p)
-        return [self._whole(words[0]) + b"".join([known[w] for w in words[1:]]) for words in cut]
 
 
 def encode_all(path: str, texts: Iterable[str]) -> Iterator[bytes]:
-    """Ids of each text in order; memory is bounded by a chunk and the longest text."""
+    """Ids of each text in order, as little-endian unsigned 32-bit bytes."""
     state = worker_state()
     key = ("encoder", path)
     encoder = state.get(key)
     if encoder is None:
         encoder = state[key] = PieceEncoder(path)
-    chunk: list[str] = []
-    chars = 0
     for text in texts:
-        chunk.append(text)
-        chars += len(text)
-        if chars >= CHUNK_CHARS:
-            yield from encoder.encode(chunk)
-            chunk, chars = [], 0
-    if chunk:
-        yield from encoder.encode(chunk)
+        encoder.age()
+        yield encoder.encode(text)
 
 
 def tokenizer_path(name: str) -> str:
