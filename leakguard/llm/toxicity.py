@@ -78,7 +78,16 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         parts.append(of.orderBy("order", "doc_id").limit(bound).select("doc_id", "toxic", F.lit(share).alias("share")))
     sample = parts[0].union(parts[1])
     text = text_or_empty("text").alias("text")
-    return docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("text", "toxic", "share")
+    rows = docs.select("doc_id", text).join(F.broadcast(sample), "doc_id").select("text", "toxic", "share")
+    # a text copied many times must not make its words telling
+    sketched = rows.mapInArrow(_sketch_task, "text string, toxic int, share double, sketch bigint")
+    return sketched.dropDuplicates(["sketch", "toxic"]).drop("sketch")
+
+
+def _sketch_task(batches):
+    for batch in batches:
+        sketches = [kernel.sketch(t) for t in batch.column(0).to_pylist()]
+        yield batch.append_column("sketch", pa.array(sketches, pa.int64()))
 
 
 def _count_task(batches):

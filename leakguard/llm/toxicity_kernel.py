@@ -35,6 +35,12 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def sketch(text: str) -> int:
+    """Smallest hash of five words in a row: near copies mostly share it."""
+    found = _WORD.findall(text.lower())
+    return min(zlib.crc32(" ".join(found[i : i + 5]).encode()) for i in range(max(1, len(found) - 4)))
+
+
 def count_features(texts: list[str], toxic: list[int]) -> tuple[Counter, Counter]:
     """Documents with each feature, among toxic and among clean ones."""
     counts = (Counter(), Counter())
