@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakguard.llm import chat, dart_minhash, exact_dedup, mixing, packing, token_files, topk, toxicity
+from leakguard.llm import chat, dart_minhash, exact_dedup, mixing, packing, pii, token_files, topk, toxicity
 from leakguard.llm.shared import materialize, new_path, table
 from leakguard.llm.tokens import tokenizer_path
 
@@ -34,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = exact_dedup.keep_decisions(table(spark, sf_dir, "documents"))
     return decided.select(
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_dart_minhash": op4_dart_minhash,
     "op5_top_k": op5_top_k,
     "op6_packing": op6_packing,
+    "op7_personal_data": op7_personal_data,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
