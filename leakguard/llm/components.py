@@ -1,7 +1,9 @@
-"""Connected components by joins, without collecting anything."""
+"""Groups of alike nodes by joins, without collecting anything."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,71 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.filter("old <> label").isEmpty():
             return labels
+
+
+def crowded_buckets(members: DataFrame) -> DataFrame:
+    """Members (bucket, node, trait) of buckets with two nodes or more, with their number
+    ``n`` and the bucket's ``pivot``: the member that meets most others in its buckets.
+
+    Counts are aggregated before they are shuffled, and a large bucket is an ordinary
+    skewed join.
+    """
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = materialize(members.join(buckets, "bucket"), "crowded")
+    weights = crowded.groupBy("node").agg(F.sum("n").alias("weight"))
+    central = F.max(F.struct("weight", "node", "trait")).alias("p")
+    pivots = crowded.join(weights, "node").groupBy("bucket").agg(central)
+    pivots = pivots.selectExpr("bucket", "p.node as pivot", "p.trait as pivot_trait")
+    return materialize(crowded.join(pivots, "bucket"), "crowded")
+
+
+def cross_pairs(strays: DataFrame, others: DataFrame, alike: Callable[[str, str], str]) -> DataFrame:
+    """Distinct pairs (a, b) of strays and members of other components in their buckets."""
+    left = strays.selectExpr("bucket", "node as a", "trait as a_trait", "label as a_label")
+    right = others.selectExpr("bucket", "node as b", "trait as b_trait", "label as b_label", "stray")
+    return (
+        left.join(right, "bucket")
+        .filter("a_label <> b_label and (not stray or a < b)")
+        .filter(alike("a_trait", "b_trait"))
+        .selectExpr("least(a, b) as a", "greatest(a, b) as b")
+        .distinct()
+    )
+
+
+def bucket_components(
+    crowded: DataFrame,
+    alike: Callable[[str, str], str],
+    verify: Callable[[DataFrame], DataFrame],
+    large: int | None = None,
+    compare: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Components of the links among nodes that share a bucket.
+
+    ``alike`` gives a condition on two traits that every link fulfils; ``verify`` reduces
+    pairs (a, b) to links.  No bucket emits all its pairs: first its members are compared
+    with its pivot; then members that did not end in the pivot's component are compared
+    with the bucket's members of other components.  A pair within a component cannot
+    change it, so no link between members of a bucket is lost.  In buckets of more than
+    ``large`` members, ``compare`` does the second step and returns links only.
+    """
+    stars = crowded.filter("node <> pivot").filter(alike("trait", "pivot_trait"))
+    stars = materialize(stars.selectExpr("pivot as a", "node as b").distinct(), "stars")
+    links = materialize(verify(stars), "links")
+    labels = components(links)
+    placed = (
+        crowded.filter("n > 2")
+        .join(labels.toDF("node", "label"), "node", "left")
+        .join(labels.toDF("pivot", "pivot_label"), "pivot", "left")
+        .selectExpr("bucket", "n", "node", "trait", "pivot", "coalesce(label, node) as label", "coalesce(pivot_label, pivot) as main")
+        .withColumn("stray", F.col("label") != F.col("main"))
+    )
+    placed = materialize(placed, "placed")
+    with_strays = placed.filter("stray").select("bucket").distinct()
+    placed = materialize(placed.join(with_strays, "bucket").filter("node <> pivot").drop("pivot", "main"), "placed")
+    small = placed if large is None else placed.filter(F.col("n") <= large)
+    pairs = materialize(cross_pairs(small.filter("stray"), small, alike), "pairs")
+    found = verify(pairs)
+    if large is not None:
+        wide = placed.filter(F.col("n") > large)
+        found = found.union(compare(wide.filter("stray"), wide))
+    return components(links.union(materialize(found, "links")))

@@ -8,9 +8,10 @@ a link if the similarity of the whole shingle multisets is 0.8 or more.  Classes
 connected groups of links.  A pair at 0.8 shares a band with probability 0.99995.
 
 No bucket emits all its pairs.  Texts with equal shingles are one node.  First the
-members of a bucket are compared with its smallest member.  Of the members that did not
-end in that member's component, the rest of the pairs across components is compared:
-pairs within a component cannot change it, so no link between candidates is lost.
+members of a bucket are compared with its most central member.  Of the members that did
+not end in that member's component, the rest of the pairs across components is compared:
+pairs within a component cannot change it, so no link between candidates is lost.  In
+large buckets that is done between blocks of bounded size, of which only links come out.
 
 Shingle arrays are made again from the texts of the nodes that have candidates, by a join
 on doc_id and text hash; nothing is collected or broadcast.  Nodes are named by a 64-bit
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakguard.llm import dart_kernel
-from leakguard.llm.components import components
+from leakguard.llm.components import bucket_components, crowded_buckets
 from leakguard.llm.shared import materialize, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -44,6 +45,9 @@ COORDINATES = 128
 BANDS = 25
 BAND_ROWS = 5
 SIMILARITY = 0.8
+# Members of a bucket beyond which pairs are compared block by block.
+LARGE_BUCKET = 32
+BLOCK_STRAYS, BLOCK_OTHERS = 256, 1024
 _NODES = "doc_id bigint, text_hash bigint, row bigint, node bigint, size int, bands array<bigint>"
 
 
@@ -133,24 +137,66 @@ def _links(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     return attached.mapInArrow(_link_task(least), "a bigint, b bigint")
 
 
+def _block_task(least: float):
+    def links(strays: pa.Table, others: pa.Table) -> pa.Table:
+        """All links between two blocks of a bucket; memory: the blocks' shingles."""
+        left = [np.frombuffer(x.as_buffer(), "<u4") for x in strays.column("shingles")]
+        right = [np.frombuffer(x.as_buffer(), "<u4") for x in others.column("shingles")]
+        sizes = np.array([len(x) for x in right])
+        # numbers for the shingles; the n-th equal one of a text counts as one of its own
+        flat, kinds = np.concatenate(left + right), None
+        owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+        new = np.ones(len(flat), bool)
+        new[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])
+        at = np.arange(len(flat))
+        nth = at - np.maximum.accumulate(np.where(new, at, 0))
+        kinds, number = np.unique(flat.astype(np.uint64) << np.uint64(20) | nth.astype(np.uint64), return_inverse=True)
+        ends = np.cumsum([len(x) for x in left])
+        mine, theirs = number[: ends[-1]], number[ends[-1] :]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        labels = (strays.column("label").to_numpy(), others.column("label").to_numpy())
+        nodes = (strays.column("node").to_numpy(), others.column("node").to_numpy())
+        mask, a, b = np.zeros(len(kinds), np.int64), [], []
+        for i, end in enumerate(ends):
+            own = mine[end - len(left[i]) : end]
+            mask[own] = 1
+            same = np.add.reduceat(mask[theirs], starts)
+            mask[own] = 0
+            hit = (same >= least * (len(own) + sizes - same)) & (labels[1] != labels[0][i])
+            a += [nodes[0][i]] * int(hit.sum())
+            b += nodes[1][hit].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def _block_links(strays: DataFrame, others: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
+    """Links across components in large buckets, found block by block; only links come out."""
+    counts = others.groupBy("bucket").agg(
+        F.ceil(F.count("*") / BLOCK_OTHERS).cast("int").alias("o"),
+        F.ceil(F.count(F.when(F.col("stray"), 1)) / BLOCK_STRAYS).cast("int").alias("s"),
+    )
+
+    def dealt(side: DataFrame, own: str, other: str, key: list[str]) -> DataFrame:
+        sized = side.select("bucket", "node", "label").join(counts, "bucket").join(shingles, "node")
+        part = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        sized = sized.withColumn("own", part).withColumn("other", every)
+        names = [*key, "node", "label", "shingles"]
+        columns = ["bucket", "own", "other", "node", "label", "shingles"]
+        # new columns on either side, which come from the same tables
+        return sized.toDF(*("_" + c for c in sized.columns)).select(*(F.expr("_" + c).alias(n) for c, n in zip(columns, names, strict=True)))
+
+    left = dealt(strays, "s", "o", ["k", "ks", "ko"]).groupBy("k", "ks", "ko")
+    right = dealt(others, "o", "s", ["q", "qo", "qs"]).groupBy("q", "qs", "qo")
+    return left.cogroup(right).applyInArrow(_block_task(least), "a bigint, b bigint")
+
+
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, class_id, class_size, kept."""
     nodes = materialize(_named(docs).mapInArrow(_node_task, _NODES), "nodes")
-    members = materialize(
-        nodes.select(F.explode("bands").alias("band"), "node", "size").distinct(), "bands"
-    )
-    buckets = (
-        members.groupBy("band")
-        .agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("pivot"))
-        .filter("n > 1")
-        .selectExpr("band", "n", "pivot.node as pivot", "pivot.size as pivot_size")
-    )
-    crowded = materialize(members.join(buckets, "band"), "crowded")
-    alike = lambda x, y: f"least({x}, {y}) >= {least} * greatest({x}, {y})"
-    stars = materialize(
-        crowded.filter("node <> pivot").filter(alike("size", "pivot_size")).selectExpr("node as a", "pivot as b").distinct(),
-        "stars",
-    )
+    members = nodes.selectExpr("explode(bands) as bucket", "node", "size as trait").distinct()
+    crowded = crowded_buckets(materialize(members, "bands"))
     # every node that may be compared, with one document that has it
     wanted = crowded.select("node").distinct()
     known = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
@@ -161,34 +207,14 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     found = texts.join(one, same).select(one["node"], texts["text"])
     shingles = materialize(found.mapInArrow(_shingle_task, "node bigint, shingles binary"), "shingles")
 
-    first = materialize(_links(stars, shingles, least), "links")
-    labels = components(first)
-    # members outside their pivot's component, against the other components of the bucket
-    label = labels.toDF("node", "label")
-    pivot_label = labels.toDF("pivot", "pivot_label")
-    placed = materialize(
-        crowded.filter("n > 2")
-        .join(label, "node", "left")
-        .join(pivot_label, "pivot", "left")
-        .selectExpr(
-            "band", "node", "size", "pivot",
-            "coalesce(label, node) as label", "coalesce(pivot_label, pivot) as pivot_label",
-        ),
-        "placed",
-    )
-    strays = placed.filter("label <> pivot_label").selectExpr("band", "node as a", "size as a_size", "label as a_label")
-    others = placed.filter("node <> pivot").selectExpr(
-        "band", "node as b", "size as b_size", "label as b_label", "label <> pivot_label as stray"
-    )
-    rest = (
-        strays.join(others, "band")
-        .filter("a_label <> b_label and (not stray or a < b)")
-        .filter(alike("a_size", "b_size"))
-        .selectExpr("least(a, b) as a", "greatest(a, b) as b")
-        .distinct()
+    alike = lambda x, y: f"least({x}, {y}) >= {least} * greatest({x}, {y})"
+    labels = bucket_components(
+        crowded,
+        alike,
+        lambda pairs: _links(pairs, shingles, least),
+        LARGE_BUCKET,
+        lambda strays, others: _block_links(strays, others, shingles, least),
     )
-    second = _links(rest, shingles, least)
-    labels = components(first.union(second))
 
     own = nodes.select("doc_id", "text_hash", "row", "node").join(labels, "node", "left")
     own = own.withColumn("label", F.coalesce("label", "node")).drop("node")

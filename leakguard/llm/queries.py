@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakguard.llm import chat, dart_minhash, exact_dedup, mixing, packing, pii, token_files, topk, toxicity
+from leakguard.llm import chat, dart_minhash, exact_dedup, fuzzy_lines, mixing, packing, pii, token_files, topk, toxicity
 from leakguard.llm.shared import materialize, new_path, table
 from leakguard.llm.tokens import tokenizer_path
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
@@ -61,6 +65,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_fuzzy_lines": op2_fuzzy_lines,
     "op3_token_files": op3_token_files,
     "op4_dart_minhash": op4_dart_minhash,
     "op5_top_k": op5_top_k,
