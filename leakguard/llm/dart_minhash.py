@@ -20,8 +20,7 @@ hash of their multiset, and similarity counts 32-bit hashes of shingles.
 Defined results: a null text counts as empty; texts without words are alike only if equal
 after removing white space; a text of one to four words is one shingle.  The smallest
 doc_id (null last, then the first row read) of a class stays; repeated rows are of one
-class.  An empty table gives an empty result.  Extra columns do not matter, but their
-names must not start with an underscore.
+class.  An empty table gives an empty result.  Extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from leakguard.llm import dart_kernel
 from leakguard.llm.components import bucket_components, crowded_buckets
-from leakguard.llm.shared import materialize, text_or_empty
+from leakguard.llm.shared import fresh, materialize, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(dart_kernel)
@@ -227,9 +226,10 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def near_dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` of which each class keeps one, with all their columns."""
-    columns = docs.columns
-    winners = near_classes(docs, least).filter("kept").selectExpr("doc_id as _id", "text_hash as _hash")
-    named = docs.withColumn("_of", F.xxhash64(text_or_empty("text")))
-    same = named["doc_id"].eqNullSafe(winners["_id"]) & (named["_of"] == winners["_hash"])
-    one = Window.partitionBy("doc_id", "_of").orderBy("_of")
-    return named.join(winners, same).withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*columns)
+    of, number, winner, digest = fresh(docs, "of", "number", "winner", "digest")
+    winners = near_classes(docs, least).filter("kept").selectExpr(f"doc_id as {winner}", f"text_hash as {digest}")
+    named = docs.withColumn(of, F.xxhash64(text_or_empty("text")))
+    same = named["doc_id"].eqNullSafe(winners[winner]) & (named[of] == winners[digest])
+    one = Window.partitionBy("doc_id", of).orderBy(of)
+    kept = named.join(winners, same).withColumn(number, F.row_number().over(one)).filter(F.col(number) == 1)
+    return kept.select(*docs.columns)

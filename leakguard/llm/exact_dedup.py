@@ -10,8 +10,7 @@ are.  All other digests are shuffled; none of them can hold a large share of the
 Defined results: a null text counts as empty, and empty texts are equal to each other.
 Of equal texts the row with the most code points stays, then the smallest ``doc_id``
 (null last), then the first row read; so of repeated rows exactly one stays.  An empty
-table gives an empty result.  Extra columns do not matter; their names may clash with
-none but ``doc_id`` and ``text``.
+table gives an empty result.  Extra columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakguard.llm.shared import materialize, text_or_empty
+from leakguard.llm.shared import fresh, materialize, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -124,17 +123,11 @@ def exact_dedup(docs: DataFrame, keep: int = COUNTERS) -> DataFrame:
     Winners are matched by doc_id and digest; rows that repeat both are one document,
     of which the first by length stays.
     """
-    columns = docs.columns
-    winners = keep_decisions(docs, keep).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")
-    )
+    of, length, number, winner, digest = fresh(docs, "of", "length", "number", "winner", "digest")
+    winners = keep_decisions(docs, keep).filter("kept").selectExpr(f"doc_id as {winner}", f"digest as {digest}")
     text = text_or_empty("text")
-    named = docs.withColumns({"_of": F.unhex(F.sha2(normalised(text), 256)), "_length": F.length(text)})
-    same = named["doc_id"].eqNullSafe(winners["_id"]) & (named["_of"] == winners["_digest"])
-    one = Window.partitionBy("doc_id", "_of").orderBy(F.desc("_length"))
-    return (
-        named.join(winners, same)
-        .withColumn("_n", F.row_number().over(one))
-        .filter("_n = 1")
-        .select(*columns)
-    )
+    named = docs.withColumns({of: F.unhex(F.sha2(normalised(text), 256)), length: F.length(text)})
+    same = named["doc_id"].eqNullSafe(winners[winner]) & (named[of] == winners[digest])
+    one = Window.partitionBy("doc_id", of).orderBy(F.desc(length))
+    kept = named.join(winners, same).withColumn(number, F.row_number().over(one)).filter(F.col(number) == 1)
+    return kept.select(*docs.columns)

@@ -13,7 +13,8 @@ share ``other``.
 Defined results: null text counts as empty (a length of 0 counts as 1, so that a source
 of empty texts has a rate); a null source belongs to ``other``; repeated rows have the
 same count, each row on its own; a source without documents changes nothing; an empty
-table gives an empty result.
+table gives an empty result.  Extra columns pass through; ones named ``copy`` or
+``mix_key`` are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakguard.llm.shared import text_or_empty
+from leakguard.llm.shared import fresh, text_or_empty
 
 # Target shares of characters; what they leave of 1 goes to all other sources.
 TARGETS = {"src0": 0.15, "src1": 0.08, "src2": 0.08, "src3": 0.02}
@@ -67,7 +68,7 @@ def rates(docs: DataFrame, targets: Mapping[str, float], budget: float) -> dict[
 
 
 def repetitions(docs: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float = 1.0, seed: int = SEED) -> DataFrame:
-    """``docs`` with a column ``_repeat``, the copies of each row.
+    """``docs`` with a last column, the copies of each row.
 
     ``budget`` is the wanted size of the result as a multiple of the input.
     """
@@ -81,12 +82,13 @@ def repetitions(docs: DataFrame, targets: Mapping[str, float] = TARGETS, budget:
         named = F.coalesce(F.col("source").isin(list(targets)), F.lit(False))
         of = ~named if source is None else F.coalesce(F.col("source") == source, F.lit(False))
         count = F.when(of, drawn).otherwise(count)
-    return docs.withColumn("_repeat", count.cast("int"))
+    return docs.withColumn(fresh(docs, "repeat")[0], count.cast("int"))
 
 
 def mix(docs: DataFrame, targets: Mapping[str, float] = TARGETS, budget: float = 1.0, seed: int = SEED) -> DataFrame:
     """Replicated documents in a global hash order, with ``copy`` (from 0) and ``mix_key``."""
-    copies = repetitions(docs, targets, budget, seed).filter("_repeat > 0")
-    exploded = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_repeat") - 1)))
+    repeat = fresh(docs, "repeat")[0]
+    copies = repetitions(docs, targets, budget, seed).filter(F.col(repeat) > 0)
+    exploded = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(repeat) - 1)))
     key = uniform(f"order{seed}", F.col("doc_id"), F.col("copy"))
-    return exploded.drop("_repeat").withColumn("mix_key", key).orderBy("mix_key", "doc_id", "copy")
+    return exploded.drop(repeat).withColumn("mix_key", key).orderBy("mix_key", "doc_id", "copy")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakguard.llm import toxicity_kernel as kernel
-from leakguard.llm.shared import text_or_empty
+from leakguard.llm.shared import fresh, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(kernel)
@@ -45,7 +45,6 @@ MIN_TOXIC_DOCS = 3
 LISTED_SHARE = 0.01
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
-SCORE = "_toxicity"
 
 
 def fold(doc_id: Column) -> Column:
@@ -160,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return ToxicityModel(vocabulary, weights, bias, listed, voters)
 
 
-def _score_task(vocabulary: dict[str, int], weights: np.ndarray, bias: float, listed: frozenset[int], at: int):
+def _score_task(vocabulary: dict[str, int], weights: np.ndarray, bias: float, listed: frozenset[int], at: int, name: str):
     def score(batches):
         featurize = kernel.Featurizer(vocabulary, listed)
         for batch in batches:
@@ -168,25 +167,27 @@ def _score_task(vocabulary: dict[str, int], weights: np.ndarray, bias: float, li
             for i, text in enumerate(batch.column(at)):
                 z = bias + sum(weights[h] for h in featurize(text.as_py() or ""))
                 out[i] = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
-            yield batch.append_column(SCORE, pa.array(out))
+            yield batch.append_column(name, pa.array(out))
 
     return score
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` with the column ``_toxicity``, from 0 to 1."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
-    return docs.mapInArrow(_score_task(model.vocabulary, model.weights, model.bias, model.listed, docs.columns.index("text")), schema)
+    """``docs`` with a last column, the score from 0 to 1 (``toxicity`` if that name is free)."""
+    name = fresh(docs, "toxicity")[0]
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score_task(model.vocabulary, model.weights, model.bias, model.listed, docs.columns.index("text"), name), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return score(docs.select("doc_id", "text"), fit(docs, labels)).select(
-        "doc_id", held_out.alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not toxic, with their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col(SCORE) < THRESHOLD).drop(SCORE)
+    name = fresh(docs, "toxicity")[0]
+    return score(docs, fit(docs, labels)).filter(F.col(name) < THRESHOLD).drop(name)
