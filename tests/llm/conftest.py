@@ -6,7 +6,7 @@ DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and long texts, ties, repeated rows, clashing names."""
-    long = " ".join(f"w{i % 977}" for i in range(40_000))
+    long = " ".join(f"w{i % 977}" for i in range(6_000))
     rows = [
         (1, None, "en", "src0", 0),
         (2, "", None, "src0", 0),
