@@ -24,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(worker)
 
 # Pieces remembered by a worker: two generations of this many.
-GENERATION = 300_000
+GENERATION = 550_000
 _SAFE_CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 # Letters with punctuation behind them are a token each under the splitting rule of
 # either known kind; a single line end between such parts is a third or dropped.
