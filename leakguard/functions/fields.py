@@ -15,7 +15,7 @@ RFC3164_RE = (
     r"^(?:[0-9]+ )?<[0-9]{1,3}>[A-Z][a-z]{2} [ 0-9][0-9] "
     r"[0-9]{2}:[0-9]{2}:[0-9]{2} \S+ [^:\s\[]+(?:\[[^\]]*\])?: ?(.+)$"
 )
-_SECONDS_RE = r"^[+-]?[0-9]{1,11}(?:\.[0-9]{1,9})?$"
+_SECONDS_RE = r"^[+-]?[0-9]+(?:\.[0-9]{1,9})?$"
 
 
 def syslog_text(line: Column) -> Column:
@@ -31,9 +31,10 @@ def syslog_body(line: Column) -> Column:
 
 
 def seconds_to_us(text: Column) -> Column:
-    """``"sec[.frac]"`` -> whole microseconds, exact, NULL when malformed."""
-    exact = text.try_cast("decimal(20,9)") * F.lit(1_000_000).cast("decimal(7,0)")
-    return F.when(text.rlike(_SECONDS_RE), exact.cast("bigint"))
+    """``"sec[.frac]"`` -> whole microseconds, exact; NULL when malformed or when the
+    microseconds do not fit a long (what a TIMESTAMP holds)."""
+    exact = text.try_cast("decimal(28,9)") * F.lit(1_000_000).cast("decimal(7,0)")
+    return F.when(text.rlike(_SECONDS_RE), exact.try_cast("bigint"))
 
 
 def epoch_time(text: Column) -> Column:

@@ -10,6 +10,8 @@ from leakguard.schemas import RATIO_UNIT
 # The first slash is taken for good, so that "/en" has no second one.
 _ROUTE_RE = r"^/?+([^/]*)(/(?s:.*))$"
 
+_LONGEST = (1 << 63) - 1
+
 SIZE = "SIZE"
 EMPTY = "EMPTY"
 MISSING = "MISSING"
@@ -55,7 +57,9 @@ def size_outcome(path: Column, found: Column, is_dir: Column, size: Column) -> C
 def ratio_cost(sent: Column, size: Column) -> Column:
     """Share of the file that was sent, in 1/100,000 of the file.
 
-    Widened to decimal so that a multi-terabyte response cannot overflow.
+    Widened to decimal; a share beyond a long is held at the largest long.
     """
     scaled = sent.cast("decimal(19,0)") * F.lit(RATIO_UNIT).cast("decimal(6,0)")
-    return F.call_function("div", scaled, size.cast("decimal(19,0)"))
+    whole = size.cast("decimal(19,0)")
+    fits = scaled < whole * F.lit(_LONGEST).cast("decimal(19,0)")
+    return F.when(fits, F.call_function("div", F.when(fits, scaled), whole)).when(scaled.isNotNull() & whole.isNotNull(), F.lit(_LONGEST))

@@ -130,10 +130,10 @@ class BanTable:
     def list(self, now) -> DataFrame:
         return active_bans(self.records(), now)
 
-    def compile(self, now, dst_ports=(80, 443), **options) -> DataFrame:
+    def compile(self, now, dst_ports=(80, 443)) -> DataFrame:
         from leakguard.plans.rules import compile_rules
 
-        return compile_rules(self.records(), now, dst_ports, **options)
+        return compile_rules(self.records(), now, dst_ports)
 
     def add(self, bans: DataFrame, batch_id: str | int | None = None) -> None:
         """Append records; writing the same ``batch_id`` again replaces that batch.

@@ -13,7 +13,7 @@ disagree, which ends the loop at one span per key in the worst case.
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +58,13 @@ def _state_fields(prefix: str, measures: list[Measure]) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
+def _arrival() -> list[Column]:
+    """A carry row first, then the events; a row without a carry flag is an event."""
+    return [F.desc_nulls_last("carried"), F.col("seq").asc_nulls_first()]
+
+
 def _sorted(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.repartition(*by).sortWithinPartitions(*by, F.col("seq").asc_nulls_first())
+    return rows.repartition(*by).sortWithinPartitions(*by, *_arrival())
 
 
 def _run(rows: DataFrame, by: list[str], measures: list[Measure], floor: bool, emit: str):
@@ -87,10 +92,12 @@ def _state(prefix: str, measures: list[Measure]):
 
 def _carry_rows(spans: DataFrame, by: list[str], column: str, measures: list[Measure]) -> DataFrame:
     names = ["last", *[str(i) for i in range(len(measures))]]
-    return spans.select(*by, *[F.col(f"{column}.`{n}`").alias(f"in_{n}") for n in names])
+    states = [F.col(f"{column}.`{n}`").alias(f"in_{n}") for n in names]
+    return spans.select(*by, F.lit(True).alias("carried"), *states)
 
 
 def _no_carry(rows: DataFrame, measures: list[Measure]) -> DataFrame:
+    rows = rows.withColumn("carried", F.lit(False))
     for f in _state_fields("in", measures):
         rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
     return rows
@@ -217,7 +224,7 @@ def bucket_bans(
         rows = _no_carry(rows, measures)
     if prefilter and not hot:
         # placed and ordered by the prefilter's windows already: no second shuffle
-        ordered = rows.sortWithinPartitions(*by, F.col("seq").asc_nulls_first())
+        ordered = rows.sortWithinPartitions(*by, *_arrival())
     else:
         ordered = _sorted(rows, by)
     return _run(ordered, by, measures, floor, "bans").drop("chunk", "session")

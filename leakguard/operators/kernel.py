@@ -136,7 +136,7 @@ def run_with_idle(rule, sec, time_us, costs, state, seen_max, idle_s):
 def bucket_mapper(rule, keys, costs, keep, emit):
     """``mapInArrow`` function over rows sorted by ``keys`` and ``seq``.
 
-    A row with a NULL ``seq`` in front of a group hands in its starting state
+    A row flagged ``carried`` in front of a group hands in its starting state
     (``in_last`` and ``in_<i>``).  ``emit`` is ``"bans"`` (columns ``keep`` of the
     overflowing event, ``measure``, ``expires_us``) or ``"states"`` (``keys``,
     ``out_last``, ``out_<i>``, NULL after a ban).  Only the running state is held
@@ -186,7 +186,7 @@ def bucket_mapper(rule, keys, costs, keep, emit):
             col = {name: batch.column(at) for at, name in enumerate(batch.schema.names)}
             sec, time_us = ints(col["sec"]), ints(col["time_us"])
             cost = [ints(col[c]) for c in costs]
-            carried = col["seq"].is_null().to_numpy(zero_copy_only=False)
+            carried = col["carried"].fill_null(False).to_numpy(zero_copy_only=False)
             bounds = starts.tolist()
             if not bounds or bounds[0] != 0:
                 bounds = [0, *bounds]

@@ -79,7 +79,8 @@ def fresh_sizes(snapshots: DataFrame, now, ttl_s: int) -> DataFrame:
     expires = F.unix_seconds("scanned_at") + F.lit(ttl_s)
     usable = usable.filter(expires >= F.unix_seconds(F.lit(now).cast("timestamp")))
     latest = usable.groupBy("path").agg(
-        F.max_by(F.struct("size", "is_dir"), "scanned_at").alias("_last"),
+        # of equal times the larger entry, nulls last: the answer is the same every time
+        F.max_by(F.struct("size", "is_dir"), F.struct("scanned_at", "is_dir", "size")).alias("_last"),
         F.max("scanned_at").alias("scanned_at"),
     )
     return latest.select("path", "_last.size", "_last.is_dir", "scanned_at")

@@ -168,7 +168,8 @@ def number_rows(
     earlier spans, so no task ever holds more than one span.
     """
     limit = limit or hot_rows_limit(df.sparkSession)
-    span = df.withColumn("_span", F.expr(f"{seq} div {limit}"))
+    # rows without a seq come first and keep their numbers
+    span = df.withColumn("_span", F.coalesce(F.expr(f"{seq} div {limit}"), F.lit(-(1 << 62))))
     sizes = span.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"))
     # one row per span: bounded by the range of seq over the span width
     before = F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))

@@ -2,50 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakguard.operators.bans import unexpired
 from leakguard.operators.cidr import minimal_prefixes
 
-# A rule never holds more prefixes than this; below it there is exactly one rule.
-MAX_RULE_PREFIXES = 250_000
+def _ports(dst_ports) -> Column:
+    return F.array(*[F.lit(p) for p in dst_ports]).cast("array<int>")
 
 
-def assemble_rules(
-    minimal: DataFrame, dst_ports=(80, 443), max_prefixes: int = MAX_RULE_PREFIXES
-) -> DataFrame:
-    """Prefixes in address order as ``rule_no, prefixes, dst_ports``.
+def rule_entries(minimal: DataFrame, dst_ports=(80, 443)) -> DataFrame:
+    """The rule as one row per prefix: ``family, lo, prefix, dst_ports``.
 
-    A small set gives one rule, an empty set one rule without prefixes.  A set
-    beyond ``max_prefixes`` is spread over several rules by address, so that no
-    task or row has to hold all of it.
+    Address order is ``(family, lo)``.  This form has no group, whatever its size.
+    """
+    return minimal.select("family", "lo", "prefix", _ports(dst_ports).alias("dst_ports"))
+
+
+def assemble_rules(minimal: DataFrame, dst_ports=(80, 443)) -> DataFrame:
+    """One rule with all prefixes in address order: ``prefixes, dst_ports``.
+
+    An empty set gives a rule without prefixes.  The rule is one row, so all its
+    prefixes pass through one task; ``rule_entries`` is the form for sets too large
+    for a row.
     """
-    spark = minimal.sparkSession
-    total = minimal.count()
-    pieces = -(-total // max_prefixes)
     order = F.array_sort(F.collect_list(F.struct("family", "lo", "prefix")))
-    listed = F.transform(order, lambda p: p["prefix"]).alias("prefixes")
-    if pieces <= 1:
-        # a global aggregate keeps its single row when there is nothing to list
-        rules = minimal.agg(listed).withColumn("rule_no", F.lit(0).cast("bigint"))
-    else:
-        window = Window.partitionBy("_part").orderBy("family", "lo")
-        rules = (
-            minimal.repartitionByRange(pieces, "family", "lo")
-            .withColumn("_part", F.spark_partition_id())
-            .withColumn("_row", F.row_number().over(window) - 1)
-            .withColumn("rule_no", F.expr(f"(cast(_part as bigint) << 32) + _row div {max_prefixes}"))
-            .groupBy("rule_no")
-            .agg(listed)
-        )
-    ports = F.array(*[F.lit(p) for p in dst_ports]).cast("array<int>")
-    return rules.select("rule_no", "prefixes", ports.alias("dst_ports"))
-
-
-def compile_rules(bans: DataFrame, now, dst_ports=(80, 443), **options) -> DataFrame:
-    """Unexpired bans -> rules ``rule_no, prefixes, dst_ports``."""
-    return assemble_rules(minimal_prefixes(unexpired(bans, now)), dst_ports, **options)
+    # a global aggregate keeps its single row when there is nothing to list
+    rules = minimal.agg(F.transform(order, lambda p: p["prefix"]).alias("prefixes"))
+    return rules.select("prefixes", _ports(dst_ports).alias("dst_ports"))
+
+
+def compile_rules(bans: DataFrame, now, dst_ports=(80, 443)) -> DataFrame:
+    """Unexpired bans -> one rule ``prefixes, dst_ports``."""
+    return assemble_rules(minimal_prefixes(unexpired(bans, now)), dst_ports)
+
+
+def compile_entries(bans: DataFrame, now, dst_ports=(80, 443)) -> DataFrame:
+    """Unexpired bans -> the rule's prefixes, a row each (see ``rule_entries``)."""
+    return rule_entries(minimal_prefixes(unexpired(bans, now)), dst_ports)
 
 
 def rules_json(rules: DataFrame) -> DataFrame:

@@ -104,12 +104,26 @@ def unpack_syslog(lines: DataFrame) -> DataFrame:
     return text.select(*lines.columns, F.nullif("_text", F.lit("")).alias("body"))
 
 
+_AFTER = "leakguard_end"
+
+
+def _one_value(text: Column) -> Column:
+    """Whether ``text`` is one JSON value with nothing but white space around it.
+
+    A reader stops behind the first value, so the text is read as the first of two
+    elements of a list: anything behind its value breaks or lengthens the list.
+    """
+    listed = F.concat(F.lit("["), text, F.lit(f',{{"{_AFTER}":"1"}}]'))
+    parsed = F.from_json(listed, f"array<struct<{_AFTER}:string>>")
+    second = F.get(parsed, F.lit(1)).getField(_AFTER)
+    return (F.size(parsed) == 2) & (second == "1") & ~F.contains(text, F.lit(_AFTER))
+
+
 @parser("nginx")
 def parse_nginx(lines: DataFrame, body: str) -> DataFrame:
     """Decode the JSON record in ``body``; add request columns and ``reject_reason``."""
     spec = T.StructType([*LOG_RECORD.fields, T.StructField("_broken", T.StringType())])
-    # JSON readers stop after the first value; text behind the record breaks the line
-    whole = F.when(F.endswith(F.rtrim(body), F.lit("}")), F.col(body))
+    whole = F.when(_one_value(F.col(body)), F.col(body))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     decoded = _computed(lines, _r=F.from_json(whole, spec, options))
     decoded = _computed(
@@ -118,8 +132,10 @@ def parse_nginx(lines: DataFrame, body: str) -> DataFrame:
         _server_hex=address_hex("_r.server"),
         time=epoch_time(F.col("_r.time")),
     )
+    # a line without its place in the order could be put before or after any other
     reason = (
-        F.when(F.col(body).isNull(), "unpack")
+        F.when(F.col("seq").isNull() if "seq" in lines.columns else F.lit(False), "seq")
+        .when(F.col(body).isNull(), "unpack")
         .when(F.col("_r").isNull() | F.col("_r._broken").isNotNull(), "json")
         .when(F.col("_client_hex").isNull(), "client")
         .when(F.col("_server_hex").isNull(), "server")

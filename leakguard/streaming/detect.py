@@ -21,7 +21,6 @@ from leakguard.streaming import processor
 cloudpickle.register_pickle_by_value(processor)
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_MIN_TTL_S = 24 * 3600
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -29,6 +28,14 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
+def latest_entries(snapshots: DataFrame) -> DataFrame:
+    """The last scanned entry of each path, so that a path appended twice matches once."""
+    entry = F.struct(*[c for c in snapshots.columns if c != "path"])
+    order = F.struct("scanned_at", "is_dir", "size")
+    latest = snapshots.groupBy("path").agg(F.max_by(entry, order).alias("_last"))
+    return latest.select("path", "_last.*").select(*snapshots.columns)
+
+
 class FreshInventory:
     """File inventory that a running stream joins against and that can be renewed.
 
@@ -38,8 +45,8 @@ class FreshInventory:
 
     def __init__(self, spark: SparkSession, path: str, ttl_s: int, clock=time.time):
         self.spark, self.path, self.ttl_s, self.clock = spark, path, ttl_s, clock
-        self.frame = (
-            spark.read.schema(INVENTORY).parquet(path).persist(StorageLevel.DISK_ONLY)
+        self.frame = latest_entries(spark.read.schema(INVENTORY).parquet(path)).persist(
+            StorageLevel.DISK_ONLY
         )
         self.read_at = clock()
 
@@ -52,13 +59,14 @@ class FreshInventory:
 
 
 def _stateful(
-    events: DataFrame, keys: list[str], measures: list[Measure], th: Thresholds
+    events: DataFrame,
+    keys: list[str],
+    measures: list[Measure],
+    th: Thresholds,
+    state_ttl_s: int | None = None,
 ) -> DataFrame:
     rows = buckets.narrow_events(events, keys, measures)
-    ttl_ms = None
-    if th.idle_reset_s is not None:
-        # frees the state of gone clients; far above the reset, so never decides one
-        ttl_ms = 1000 * max(_MIN_TTL_S, 100 * th.idle_reset_s)
+    ttl_ms = None if state_ttl_s is None else 1000 * state_ttl_s
     fields = [rows.schema[k] for k in (*keys, "seq", "family")]
     fields += [T.StructField("measure", T.IntegerType()), T.StructField("expires_us", T.LongType())]
     return rows.groupBy(*keys).transformWithStateInPandas(
@@ -75,13 +83,17 @@ def _stateful(
     )
 
 
-def stream_client_bans(requests: DataFrame, th: Thresholds) -> DataFrame:
-    hits = _stateful(requests, CLIENT_KEYS, th.client_measures, th)
+def stream_client_bans(
+    requests: DataFrame, th: Thresholds, state_ttl_s: int | None = None
+) -> DataFrame:
+    hits = _stateful(requests, CLIENT_KEYS, th.client_measures, th, state_ttl_s)
     return buckets.ban_records(hits, th.client_measures, th)
 
 
-def stream_path_bans(tracked: DataFrame, th: Thresholds) -> DataFrame:
-    hits = _stateful(tracked, PATH_KEYS, th.path_measures, th)
+def stream_path_bans(
+    tracked: DataFrame, th: Thresholds, state_ttl_s: int | None = None
+) -> DataFrame:
+    hits = _stateful(tracked, PATH_KEYS, th.path_measures, th, state_ttl_s)
     return buckets.ban_records(hits, th.path_measures, th)
 
 
@@ -101,11 +113,15 @@ def detect_stream(
     prune: bool = False,
     clock: Callable[[], datetime] = _now,
     trigger: dict | None = None,
+    state_ttl_s: int | None = None,
 ):
     """Start the query: every request updates its client and its path bucket.
 
     Bans are appended per micro-batch under the batch id, so a replayed batch
-    replaces itself.  A failing write fails the micro-batch, which is retried.
+    replaces itself.  A failing write stops the query; a restart replays the batch.
+    ``state_ttl_s`` drops the state of keys not seen for so many seconds of processing
+    time.  That changes results: a key that comes back starts afresh, also when the
+    query itself was down for that long.  Without it state is kept for ever.
     Limit the micro-batch size on the source (``maxFilesPerTrigger`` or
     ``maxOffsetsPerTrigger``): a client's part of one micro-batch is one group.
     """
@@ -119,11 +135,11 @@ def detect_stream(
     tracked = resolve.trackable(resolve.resolve_sizes(requests, routes, files))
     columns = ["seq", "kind", "prefix", "blame", "expires_at"]
     bans = (
-        stream_client_bans(requests, th)
+        stream_client_bans(requests, th, state_ttl_s)
         .withColumn("kind", F.lit(0))
         .select(*columns)
         .unionByName(
-            stream_path_bans(tracked, th).withColumn("kind", F.lit(1)).select(*columns)
+            stream_path_bans(tracked, th, state_ttl_s).withColumn("kind", F.lit(1)).select(*columns)
         )
     )
     last_prune = clock()

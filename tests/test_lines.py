@@ -27,7 +27,8 @@ def record(**changes):
         ("1734345934.123", 1734345934123000), ("1734345934", 1734345934000000), ("0.000", 0),
         ("12", 12000000), ("-0.5", -500000), ("1.123456789", 1123456), ("1.1234567890", None),
         (".5", None), ("1.", None), ("", None), ("abc", None), ("1e3", None), (None, None),
-        ("1.2.3", None), (" 1", None),
+        ("1.2.3", None), (" 1", None), ("9000000000000", 9000000000000000000),
+        ("9" * 40, None), ("9300000000000", None),
     ],
 )
 def test_seconds(spark, text, us):
@@ -60,6 +61,8 @@ CASES = [
     (record(status=None, sent=None, agent=None), None), (record(extra=1), None),
     ("not json", "json"), ("", "json"), ("[]", "json"), ("{}", "client"),
     (record()[:-1], "json"), (record(status="abc"), "json"), (record() + " tail", "json"),
+    (record() + record(), "json"), (record() + " }", "json"), (record() + " junk}", "json"),
+    (record() + "] junk}", "json"), (record() + "," + record(), "json"), (f"  {record()} ", None),
     (record(client="999.1.1.1"), "client"), (record(client=""), "client"),
     (record(client=None), "client"), (record(server="unix:"), "server"),
     (record(time="abc"), "time"), (record(time=None), "time"), (record(time="1."), "time"),
@@ -82,6 +85,13 @@ def test_records(spark):
     assert utc == datetime(2024, 12, 16, 10, 45, 34, 123000)
 
 
+def test_lines_without_seq_are_rejected(spark):
+    lines = spark.createDataFrame([(None, record()), (4, record())], "seq long, line string")
+    requests, rejects = src.parse_lines(lines, envelope="none")
+    assert [r.seq for r in requests.collect()] == [4]
+    assert [(r.seq, r.reject_reason) for r in rejects.collect()] == [(None, "seq")]
+
+
 def test_reject_head_and_quarantine(spark, tmp_path):
     lines = spark.createDataFrame(
         [(1, "no header"), (2, "<134>Jan  1 00:00:00 e n: not json at all")], "seq long, line string"

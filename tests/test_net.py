@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from leakguard.functions import net
 from leakguard.operators import cidr
 from leakguard.operators.bans import BanTable, manual_bans, number_bans, valid_prefixes
-from leakguard.plans.rules import assemble_rules, compile_rules, rules_json
+from leakguard.operators.skew import number_rows
+from leakguard.plans.rules import assemble_rules, compile_rules, rule_entries, rules_json
 
 
 def key_of(text):
@@ -170,12 +171,20 @@ def test_rules(spark):
     assert [(r.prefixes, r.dst_ports) for r in none] == [([], [80, 443])]
 
 
-def test_rules_are_spread_when_large(spark):
+def test_rule_and_entries_agree(spark):
     bans = ban_frame(spark, [f"10.{i}.0.0/24" for i in range(20)])
     minimal = cidr.minimal_prefixes(bans)
-    rules = assemble_rules(minimal, max_prefixes=6).orderBy("rule_no").collect()
-    assert all(len(r.prefixes) <= 6 for r in rules)
-    assert [p for r in rules for p in r.prefixes] == [f"10.{i}.0.0/24" for i in range(20)]
+    (rule,) = assemble_rules(minimal).collect()
+    entries = rule_entries(minimal).orderBy("family", "lo").collect()
+    assert rule.prefixes == [r.prefix for r in entries] == [f"10.{i}.0.0/24" for i in range(20)]
+    assert all(r.dst_ports == rule.dst_ports for r in entries)
+
+
+def test_numbers_keep_rows_without_seq(spark):
+    rows = spark.createDataFrame([(None,), (5,), (None,), (900,)], "seq long")
+    got = number_rows(rows, [F.col("seq")], "id", limit=3).collect()
+    assert sorted(r.id for r in got) == [1, 2, 3, 4]
+    assert [r.id for r in got if r.seq == 900] == [4]
 
 
 def test_number_bans_across_spans(spark):

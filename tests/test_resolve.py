@@ -129,3 +129,12 @@ def test_small_lookups_are_broadcast_and_scans_are_narrow(spark, sf_dir):
     text = plan(resolved)
     assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") >= 3
     assert "event_type" not in text.split("FileScan parquet")[1].split("ReadSchema")[1].split("\n")[0]
+
+
+def test_ratio_cost_is_held_at_the_largest_long(spark):
+    from leakguard.functions.paths import ratio_cost
+
+    top = (1 << 63) - 1
+    rows = spark.createDataFrame([(top, 1), (top, top), (5, 2), (None, 3), (0, 7)], "sent long, size long")
+    got = [r[0] for r in rows.select(ratio_cost(F.col("sent"), F.col("size"))).collect()]
+    assert got == [top, 100_000, 250_000, None, 0]
