@@ -112,19 +112,20 @@ def plain_spans(text):
     return [s for _, _, s in sorted(out)]
 
 
-def test_base_spans_equal_plain_patterns(spark, docs, odd_docs):
+def test_base_spans_equal_plain_patterns(spark, docs):
     rng = np.random.default_rng(8)
     parts = ["a@b.c", "@", ".", "1.2.3.4", "256", "+1 (222) 333-4444", "4111 1111 1111 1111", " ", "-", "9", "+", "é", "x.y", "0", "\U0001f600", "4242-4242-4242-4242"]
     mixed = ["".join(rng.choice(parts, 12)) for _ in range(150)]
-    mixed += ["x" * 100_000 + "@y.z", "1." * 20_000, "+" * 20_000 + "1", "1 " * 30_000]
+    # short: the plain patterns take quadratic time here
+    mixed += ["x" * 2_000 + "@y.z", "1." * 1_000, "+" * 2_000 + "1", "1 " * 2_000, "9" * 2_000]
     extra = spark.createDataFrame([(100_000 + i, t) for i, t in enumerate(mixed)], "doc_id bigint, text string")
-    table = docs.select("doc_id", "text").union(extra).union(odd_docs.filter("doc_id > 8").select("doc_id", "text"))
+    table = docs.select("doc_id", "text").union(extra)
     got = pii.personal_data(table).collect()
     want = sorted((r.doc_id, hashlib.sha256(",".join(plain_spans(r.text)).encode()).hexdigest()) for r in table.collect())
     assert sorted((r.doc_id, r.base_sha256) for r in got) == want
     whole = {r.doc_id: r.text for r in table.collect()}
     for r in got:
-        assert set(plain_spans(whole[r.doc_id])) <= set(r.spans.split(","))| {""}
+        assert set(plain_spans(whole[r.doc_id])) <= set(r.spans.split(","))
 
 
 def test_personal_data_of_odd_rows(odd_docs, no_docs):
