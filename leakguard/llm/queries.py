@@ -6,7 +6,22 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakguard.llm import chat, dart_minhash, exact_dedup, fuzzy_lines, mixing, packing, pii, token_files, topk, toxicity
+from leakguard.llm import (
+    chat,
+    dart_minhash,
+    exact_dedup,
+    fuzzy_lines,
+    mixing,
+    packing,
+    pii,
+    repair,
+    spelling,
+    sql,
+    token_files,
+    topk,
+    toxicity,
+    urls,
+)
 from leakguard.llm.shared import materialize, new_path, table
 from leakguard.llm.tokens import tokenizer_path
 
@@ -64,6 +79,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(materialize(chat.format_trees(rows), "formatted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repair(repair.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fuzzy_lines": op2_fuzzy_lines,
@@ -75,6 +102,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -123,4 +153,6 @@ ORACLES: dict[str, str] = {
                row_number() over (partition by text_sha256 order by len desc, doc_id) = 1 as kept,
                text_sha256
         from t""",
+    "op11_conversation_repair": sql.CONVERSATION_REPAIR,
+    "op13_spelling_variants": sql.SPELLING_VARIANTS,
 }

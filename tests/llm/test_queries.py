@@ -11,4 +11,4 @@ def test_query(spark, sf_dir, name):
 
 def test_one_query_for_each_operator():
     assert [n for n in QUERIES if n != "pipeline"] == sorted((n for n in QUERIES if n != "pipeline"), key=lambda n: int(n[2:].split("_")[0]))
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 14))
