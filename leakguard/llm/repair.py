@@ -12,13 +12,15 @@ A blank or duplicate row must be deleted; a truncated row that stays costs 5 mor
 edits of least cost, the ones whose initials in order are least in ASCII win.
 
 The search is depth-first branch and bound with an explicit stack.  A node is (rows
-decided, place in the pattern).  What the remaining rows cost at least is summed up front;
-a prefix goes when that bound passes the incumbent, or ties with it and its audit is
-greater already.  Each node remembers its best (cost, audit) so far and drops every prefix
-that is not better: an audit fixes its cost, so of two prefixes of equal cost at one node
-neither is the beginning of the other, and what follows cannot turn their order around.
-The search ends when the stack is empty: the incumbent is then proved best.  Rows beyond
-``STEP`` are searched in steps, each entered from every node that the step before left.
+decided, place in the pattern); its suffix bound, summed up from the end, is the least that
+the remaining rows can cost from that place.  The incumbent starts at the bound of the whole
+and only a cheaper result replaces it; a prefix goes when its cost and its suffix bound do
+not stay below the incumbent.  Edits are tried in the order of their letters, so prefixes
+come in the order of their audits.  An audit fixes its cost, so of two prefixes of equal
+cost at one node neither is the beginning of the other, and what follows cannot turn their
+order around: a node's dominance table holds the least cost that reached it, and a later
+prefix of the same cost or more is worse.  An empty stack proves the incumbent (cost, audit)
+best.  Time and memory grow with the rows of the conversation.
 
 One conversation is one output row, so its rows meet in one task, in sorted order.
 
@@ -42,7 +44,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANK = " \t\n\x0b\x0c\r"  # the characters \x20 and \x09-\x0D
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 1, 2, 5, 5
-STEP = 512  # rows decided in one search
 # Short conversations with the same faults and roles have the same edits.
 LONGEST_REMEMBERED, MOST_REMEMBERED = 32, 1 << 14
 
@@ -50,8 +51,6 @@ LONGEST_REMEMBERED, MOST_REMEMBERED = 32, 1 << 14
 _NEW, _SYSTEM, _USER, _ASSISTANT = range(4)
 _NEXT = {_NEW: ("u", _USER), _SYSTEM: ("u", _USER), _USER: ("a", _ASSISTANT), _ASSISTANT: ("u", _USER)}
 _COMPLETE = (_NEW, _ASSISTANT)
-# Places that inserts and rows can still lead to.
-_REACH = {_NEW: (0, 1, 2, 3), _SYSTEM: (1, 2, 3), _USER: (2, 3), _ASSISTANT: (2, 3)}
 _ROLE = {"u": "user", "a": "assistant"}
 
 ROW = (
@@ -60,85 +59,62 @@ ROW = (
 )
 
 
-def _choices(place: int, initial: str, fault: str):
-    """Edits of one row at a place: (letter, cost, next place), the cheapest last."""
+def _choices(place: int, initial: str, fault: str) -> list[tuple[str, int, int]]:
+    """Edits of one row at a place, in the order of their letters: (letter, cost, next place)."""
+    if fault in "bd":
+        return [("D", DELETE, place)]
     wanted, then = _NEXT[place]
-    if fault not in "bd":
-        stays = TRUNCATED if fault == "t" else 0
-        yield "R", REROLE + stays, then
-        yield "D", DELETE, place
-        if initial == wanted:
-            yield "K", KEEP + stays, then
-        elif initial == "s" and place == _NEW:
-            yield "K", KEEP + stays, _SYSTEM
-    else:
-        yield "D", DELETE, place
-
-
-def _least(initial: str, fault: str) -> int:
-    """A lower bound of what a row costs, wherever it stands."""
-    if fault in "bdt":
-        return DELETE
-    return KEEP if initial in ("s", "u", "a") else REROLE
-
-
-def _search(facts, entries: dict, last: bool) -> dict:
-    """Best (cost, audit) at every exit; ``entries`` are the prefixes the search starts from."""
-    n = len(facts)
-    bound = [0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        bound[i] = bound[i + 1] + _least(*facts[i])
-    best: dict = {}  # node -> (cost, entry, audit of this step)
-    found: dict = {}  # exit -> the same
-
-    def whole(state):
-        return entries[state[1]][1] + state[2]
-
-    def worse(state, other) -> bool:
-        """Whether ``state`` is not better than ``other`` at the same node."""
-        if state[0] != other[0]:
-            return state[0] > other[0]
-        if state[1] == other[1]:
-            return state[2] >= other[2]
-        return whole(state) >= whole(other)
-
-    def hopeless(at: int, place: int, state) -> bool:
-        least = state[0] + bound[at]
-        for exit_ in (_NEW,) if last else _REACH[place]:
-            other = found.get(exit_)
-            if other is None or least < other[0]:
-                return False
-            if least == other[0]:
-                if state[1] != other[1] or state[2] <= other[2][: len(state[2])]:
-                    return False
-        return True
-
-    stack = [(0, place, (cost, place, "")) for place, (cost, _) in sorted(entries.items(), reverse=True)]
-    while stack:
-        at, place, state = stack.pop()
-        known = best.get((at, place))
-        if (known is not None and worse(state, known)) or hopeless(at, place, state):
-            continue
-        best[at, place] = state
-        if at == n and (not last or place in _COMPLETE):
-            exit_ = _NEW if last else place  # complete results compete with each other
-            if exit_ not in found or not worse(state, found[exit_]):
-                found[exit_] = state
-        if at < n or last:
-            _, then = _NEXT[place]
-            stack.append((at, then, (state[0] + INSERT, state[1], state[2] + "I")))
-        if at < n:
-            for letter, cost, then in _choices(place, *facts[at]):
-                stack.append((at + 1, then, (state[0] + cost, state[1], state[2] + letter)))
-    return {exit_: (state[0], whole(state)) for exit_, state in found.items()}
+    stays = TRUNCATED if fault == "t" else 0
+    out = [("D", DELETE, place)]
+    if initial == wanted:
+        out.append(("K", KEEP + stays, then))
+    elif initial == "s" and place == _NEW:
+        out.append(("K", KEEP + stays, _SYSTEM))
+    return [*out, ("R", REROLE + stays, then)]
+
+
+def _with_inserts(least: list[int]) -> list[int]:
+    """Least costs by place when inserts may come first."""
+    user = min(least[_USER], least[_ASSISTANT] + INSERT)
+    assistant = min(least[_ASSISTANT], user + INSERT)
+    user = min(user, assistant + INSERT)
+    return [min(least[_NEW], user + INSERT), min(least[_SYSTEM], user + INSERT), user, assistant]
+
+
+def suffix_bounds(facts) -> list[list[int]]:
+    """Per row and place, what the rows from there on cost at least."""
+    never = 1 << 60
+    bounds = [_with_inserts([0 if place in _COMPLETE else never for place in range(4)])]
+    for initial, fault in reversed(facts):
+        after = bounds[-1]
+        one = [min(cost + after[then] for _, cost, then in _choices(place, initial, fault)) for place in range(4)]
+        bounds.append(_with_inserts(one))
+    bounds.reverse()
+    return bounds
 
 
 def best_edits(facts) -> tuple[int, str]:
     """(cost, audit) of the cheapest edits; a fact is a role initial and a fault (b, d, t or -)."""
-    entries = {_NEW: (0, "")}
-    for at in range(0, max(len(facts), 1), STEP):
-        entries = _search(facts[at : at + STEP], entries, at + STEP >= len(facts))
-    return entries[_NEW]
+    n, bounds = len(facts), suffix_bounds(facts)
+    incumbent, audit = bounds[0][_NEW] + 1, ""
+    least: dict = {}  # dominance: the least cost that reached a node
+    path = bytearray()
+    stack = [(0, _NEW, 0, 0, "")]
+    while stack:
+        at, place, cost, depth, letter = stack.pop()
+        if cost + bounds[at][place] >= incumbent or least.get((at, place), incumbent) <= cost:
+            continue
+        least[at, place] = cost
+        if letter:
+            path[depth - 1 :] = letter.encode()
+        if at == n and place in _COMPLETE:
+            incumbent, audit = cost, path[:depth].decode()
+            continue
+        edits = [(at + 1, then, more, choice) for choice, more, then in _choices(place, *facts[at])] if at < n else []
+        edits.append((at, _NEXT[place][1], INSERT, "I"))
+        for next_at, then, more, choice in sorted(edits, key=lambda e: e[3], reverse=True):
+            stack.append((next_at, then, cost + more, depth + 1, choice))
+    return incumbent, audit
 
 
 def _remembered(facts: tuple, known: dict) -> tuple[int, str]:
