@@ -3,10 +3,12 @@
 Plan for ordinary keys: one shuffle by key, one sort, a window prefilter in the
 JVM, and the bucket rule over Arrow batches of the keys that can overflow.
 
-A hot key is cut into spans of ``seq`` that run in parallel.  Each span guesses
-that it starts fresh; spans whose guess differs from what the span before them
-left behind run again until all agree.  Agreement from the first span on is the
-sequential result, so the answer is exact.  Spans are widened while they
+A hot key is cut into spans.  One that never overflows without a reset cannot reset
+and needs no state run.  The others are followed by next-overflow links (``links``).  With
+a floor, spans run in parallel instead, each from the guess that it starts fresh; spans
+whose guess differs from what the span before them left behind run again until all
+agree.  Agreement from the first span on is the sequential result, so the answer is
+exact.  A floor makes levels forget, so guesses agree soon; spans are widened while they
 disagree, which ends the loop at one span per key in the worst case.
 """
 
@@ -18,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakguard.functions.net import ban_prefix
-from leakguard.operators import kernel
+from leakguard.operators import kernel, links
 from leakguard.operators.levels import (
     CLIENT_KEYS,
     PATH_KEYS,
+    exact_cost,
     sessions,
     split_levels,
     with_seconds,
@@ -171,18 +174,67 @@ def _settle(
         )
 
 
+def _overflows(levels: DataFrame, measures: list[Measure]) -> Column:
+    over = F.lit(False)
+    for m in measures:
+        over = over | (F.col(f"{m.name}_level") > m.volume)
+    return over
+
+
 def _candidates(
     rows: DataFrame, keys: list[str], measures: list[Measure], floor: bool
 ) -> DataFrame:
     """Drop keys whose level never passes a volume; they cannot reset."""
     levels = split_levels(rows, False, keys, measures, floor)
-    over = F.lit(False)
-    for m in measures:
-        over = over | (F.col(f"{m.name}_level") > m.volume)
-    levels = levels.withColumn("_over", F.max(over).over(Window.partitionBy(*keys)))
+    levels = levels.withColumn("_over", F.max(_overflows(levels, measures)).over(Window.partitionBy(*keys)))
     return levels.filter("_over").select(*rows.columns)
 
 
+def _can_reset(
+    rows: DataFrame, keys: list[str], measures: list[Measure], floor: bool
+) -> DataFrame | None:
+    """Rows of hot keys with a level above a volume; None if there is no such key."""
+    levels = split_levels(rows, True, keys, measures, floor)
+    over = materialize(levels.filter(_overflows(levels, measures)).select(*keys).distinct())
+    return None if over.isEmpty() else rows.join(over, keys, "left_semi")
+
+
+def _hot_spans(
+    rows: DataFrame, keys: list[str], measures: list[Measure], floor: bool
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows to run, spans, ends)`` of hot keys that can reset.
+
+    The rows of each span to run, with the state ``before`` it, and per key the state
+    ``after`` its last event.
+    """
+    by = [*keys, "chunk"]
+    if floor:
+        staged, spans = _settle(rows, keys, measures, floor)
+        return staged, spans, spans.groupBy(*keys).agg(F.max_by("after", "chunk").alias("after"))
+    staged = materialize(rows)
+    starts, ends = links.follow(staged, bucket_rule(measures, floor), keys, measures)
+    held = F.when(
+        ~F.col("fresh"),
+        F.struct("last", *[F.col(f"level_{i}").alias(str(i)) for i in range(len(measures))]),
+    )
+    spans = starts.select(*by, held.alias("before"))
+    return staged.join(spans.select(*by), by, "left_semi"), spans, ends.select(*keys, held.alias("after"))
+
+
+def _unreset(rows: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
+    """State of keys that never reset (no floor): sums are enough."""
+    total = rows.groupBy(*keys).agg(
+        F.max("sec").alias("last"),
+        F.min_by("sec", F.struct("seq")).alias("_first"),
+        *[F.sum(exact_cost(m)).alias(f"_sum_{i}") for i, m in enumerate(measures)],
+    )
+    levels = [
+        links.stored(F.col(f"_sum_{i}") - F.lit(m.leak) * (F.col("last") - F.col("_first"))).alias(str(i))
+        for i, m in enumerate(measures)
+    ]
+    return total.select(*keys, F.struct("last", *levels).alias("after"))
+
+
 def _prepare(
     events: DataFrame,
     keys: list[str],
@@ -211,13 +263,17 @@ def bucket_bans(
     rows, hot, by_key = _prepare(events, keys, measures, idle_reset_s, limit)
     by = group_columns(by_key, hot)
     if hot:
-        staged, spans = _settle(rows.filter(F.col("chunk") >= 0), by_key, measures, floor)
+        crowded = _can_reset(rows.filter(F.col("chunk") >= 0), by_key, measures, floor)
         rows = rows.filter(F.col("chunk") < 0)
         if prefilter:
             rows = _candidates(rows, by_key, measures, floor)
-        rows = _with_carry(
-            rows.unionByName(staged), _carry_rows(spans, by, "before", measures)
-        )
+        if crowded is None:
+            rows = _no_carry(rows, measures)
+        else:
+            staged, spans, _ = _hot_spans(crowded, by_key, measures, floor)
+            rows = _with_carry(
+                rows.unionByName(staged), _carry_rows(spans, by, "before", measures)
+            )
     elif prefilter:
         rows = _no_carry(_candidates(rows, by_key, measures, floor), measures)
     else:
@@ -245,9 +301,15 @@ def bucket_states(
     ran = _run(_sorted(_no_carry(cold, measures), by), by, measures, floor, "states")
     left = ran.select(*by, _state("out", measures).alias("after"))
     if hot:
-        _, spans = _settle(parts.filter(F.col("chunk") >= 0), by_key, measures, floor)
-        left = left.unionByName(spans.select(*by, "after"))
-    latest = [c for c in by if c not in keys]
+        left = left.drop("chunk")
+        crowded = parts.filter(F.col("chunk") >= 0)
+        resets = crowded if floor else _can_reset(crowded, by_key, measures, floor)
+        if not floor:
+            calm = crowded if resets is None else crowded.join(resets.select(*by_key).distinct(), by_key, "left_anti")
+            left = left.unionByName(_unreset(calm, by_key, measures))
+        if resets is not None:
+            left = left.unionByName(_hot_spans(resets, by_key, measures, floor)[2])
+    latest = [c for c in by_key if c not in keys]
     if latest:
         left = left.groupBy(*keys).agg(F.max_by("after", F.struct(*latest)).alias("after"))
     return left.filter(F.col("after").isNotNull()).select(

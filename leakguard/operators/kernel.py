@@ -13,6 +13,7 @@ import numpy as np
 US = 1_000_000
 _MIN_STEP = 64
 _MAX_STEP = 1 << 16
+_BIG = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,15 @@ def step(rule, state, sec, time_us, cost):
     return (levels, last), None
 
 
+def _fits(rule, state, sec, costs):
+    """Whether every sum of a slice stays within 64 bits."""
+    n, elapsed = len(sec), max(int(sec.max()) - state[1], 0)
+    return all(
+        abs(level) + n * max(int(c.max()), -int(c.min())) + leak * elapsed < _BIG
+        for level, leak, c in zip(state[0], rule.leak, costs)
+    )
+
+
 def run_bucket(rule, sec, time_us, costs, state):
     """Feed events to a bucket that is dropped whenever it overflows.
 
@@ -60,7 +70,8 @@ def run_bucket(rule, sec, time_us, costs, state):
 
     Short buckets go event by event.  A bucket that outlives a slice goes on
     with whole slices: the levels of all its events are computed at once and
-    the slice ends at its first overflow.
+    the slice ends at its first overflow.  A slice whose sums could run over 64 bits
+    goes event by event, in Python's integers.
     """
     hits = []
     n = len(sec)
@@ -68,7 +79,7 @@ def run_bucket(rule, sec, time_us, costs, state):
     width = _MIN_STEP
     while i < n:
         j = min(n, i + width)
-        if width == _MIN_STEP:
+        if width == _MIN_STEP or not _fits(rule, state, sec[i:j], [c[i:j] for c in costs]):
             found = len(hits)
             rows = zip(sec[i:j].tolist(), time_us[i:j].tolist(), zip(*[c[i:j].tolist() for c in costs]))
             for at, (s, t, cost) in enumerate(rows, i):
@@ -76,8 +87,8 @@ def run_bucket(rule, sec, time_us, costs, state):
                 if hit is not None:
                     hits.append((at, *hit))
             i = j
-            if found == len(hits) and state is not None:
-                width *= 2
+            keeps = found == len(hits) and state is not None
+            width = min(width * 2, _MAX_STEP) if keeps else _MIN_STEP
             continue
         s = sec[i:j]
         levels, start = state
@@ -155,7 +166,7 @@ def bucket_mapper(rule, keys, costs, keep, emit):
         picked = pa.concat_tables([pa.Table.from_batches([r]) for r in rows])
         arrays = [picked.column(k).combine_chunks() for k in keys]
         lasts = [None if s is None else s[1] for s in states]
-        levels = [[None if s is None else s[0][m] for s in states] for m in range(len(costs))]
+        levels = [[None if s is None else max(s[0][m], -_BIG) for s in states] for m in range(len(costs))]
         arrays += [pa.array(v, t) for v, t in zip([lasts, *levels], state_types)]
         names = [*keys, "out_last", *[f"out_{m}" for m in range(len(costs))]]
         return pa.RecordBatch.from_arrays(arrays, names)

@@ -12,7 +12,7 @@ of it, so the same windows serve ordinary and hot keys.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakguard.operators.skew import group_columns, split_hot
@@ -29,6 +29,20 @@ def with_seconds(events: DataFrame) -> DataFrame:
     )
 
 
+def exact_cost(m: Measure) -> Column:
+    """A measure's cost, wide enough that no sum of any values runs over."""
+    return F.col(m.cost) if m.cost == "one" else F.col(m.cost).cast("decimal(20,0)")
+
+
+_LARGEST = (1 << 63) - 1
+
+
+def held(level: Column) -> Column:
+    """A level as a long; beyond what a long can hold it stays at the limit."""
+    limit = F.lit(_LARGEST)
+    return F.greatest(F.least(level, limit), -limit).cast("bigint")
+
+
 def _order(by: list[str]) -> tuple:
     w = Window.partitionBy(*by).orderBy(F.col("seq").asc_nulls_first())
     return (
@@ -45,7 +59,7 @@ def _carry(parts: DataFrame, keys: list[str], measures: list[Measure]) -> DataFr
         .agg(
             F.max("sec").alias("_max"),
             F.min_by("sec", "seq").alias("_first"),
-            *[F.sum(m.cost).alias(f"_sum_{m.name}") for m in measures],
+            *[F.sum(exact_cost(m)).alias(f"_sum_{m.name}") for m in measures],
         )
     )
     w = Window.partitionBy(*keys).orderBy("chunk")
@@ -58,9 +72,9 @@ def _carry(parts: DataFrame, keys: list[str], measures: list[Measure]) -> DataFr
         "chunk",
         "sec",
         *[
-            (F.sum(f"_sum_{m.name}").over(past) - F.lit(m.leak) * (F.col("sec") - F.col("_start")))
-            .cast("bigint")
-            .alias(f"_in_{m.name}")
+            (F.sum(f"_sum_{m.name}").over(past) - F.lit(m.leak) * (F.col("sec") - F.col("_start"))).alias(
+                f"_in_{m.name}"
+            )
             for m in measures
         ],
     ).filter(F.col("sec").isNotNull())
@@ -82,7 +96,7 @@ def _net_levels(rows: DataFrame, by: list[str], measures: list[Measure]) -> Data
     )
     levels = {}
     for m in measures:
-        net = F.col(m.cost) - F.lit(m.leak) * F.col("delta")
+        net = exact_cost(m) - F.lit(m.leak) * F.col("delta")
         if f"_in_{m.name}" in rows.columns:
             net = F.when(F.col("_carry"), F.col(f"_in_{m.name}")).otherwise(net)
         levels[f"{m.name}_level"] = F.sum(net).over(upto)
@@ -96,7 +110,7 @@ def split_levels(
     measures: list[Measure],
     floor: bool = False,
 ) -> DataFrame:
-    """Levels of a frame that went through ``split_hot``."""
+    """Levels of a frame that went through ``split_hot``, wide enough for any sum."""
     by = group_columns(keys, hot)
     upto, _ = _order(by)
     if not hot:
@@ -191,7 +205,8 @@ def bucket_levels(
         events = sessions(events, keys, idle_reset_s, limit)
         keys = [*keys, "session"]
     parts, hot = split_hot(events, keys, limit)
-    return _plain(split_levels(parts, hot, keys, measures, floor)).drop("one")
+    rows = _plain(split_levels(parts, hot, keys, measures, floor)).drop("one")
+    return rows.withColumns({f"{m.name}_level": held(F.col(f"{m.name}_level")) for m in measures})
 
 
 def client_levels(requests: DataFrame, th: Thresholds, **options) -> DataFrame:

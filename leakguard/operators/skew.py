@@ -7,28 +7,20 @@ together again, never sampled or cut.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS_CONF = "leakguard.hot.rows"
-BROADCAST_ROWS_CONF = "leakguard.broadcast.rows"
-DEFAULT_HOT_ROWS = 1 << 22
-DEFAULT_BROADCAST_ROWS = 200_000
-# Rows of the hot-key list that may pass through the driver.  A key beyond the
-# list stays in one group; with N rows it has at most N / MAX_HOT_KEYS of them.
-MAX_HOT_KEYS = 100_000
+DEFAULT_HOT_ROWS = 1 << 20
 
 
 def hot_rows_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(DEFAULT_HOT_ROWS)))
 
 
-def broadcast_rows_limit(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_ROWS_CONF, str(DEFAULT_BROADCAST_ROWS)))
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only in local mode."""
     sc = spark.sparkContext
@@ -45,9 +37,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and cuts the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared checkpoint folder and read again.
+
+    Survives lost executors and cuts the lineage; unlike a checkpoint its size is known
+    to the planner, which decides by it what to broadcast.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/leakguard-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _PROBES: OrderedDict = OrderedDict()
@@ -73,51 +70,50 @@ def _probe(df: DataFrame, what: tuple, ask):
 def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Keys with more than ``limit`` rows (column ``hot_n``), or None.
 
-    Reads only the key columns and counts map-side first.
+    Reads only the key columns and counts map-side first.  The list is a table of its own,
+    of any length.
     """
     wanted = df.select(*keys)
-    heavy = (
-        wanted.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("hot_n"))
-        .filter(F.col("hot_n") > limit)
-        .orderBy(F.desc("hot_n"))
-        .limit(MAX_HOT_KEYS)
-    )
-    rows = _probe(wanted, ("hot", limit), heavy.collect)
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, heavy.schema)
+    heavy = wanted.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_n")).filter(F.col("hot_n") > limit)
+
+    def ask() -> DataFrame | None:
+        listed = materialize(heavy)
+        return None if listed.isEmpty() else listed
+
+    return _probe(wanted, ("hot", limit), ask)
 
 
 def split_hot(
     df: DataFrame, keys: list[str], limit: int | None = None
 ) -> tuple[DataFrame, bool]:
-    """Add ``chunk`` if some key is hot: a span of ``seq`` for hot keys, else -1.
+    """Add ``chunk`` if some key is hot: the number of its span for hot keys, else -1.
 
-    ``seq`` is unique, so a ``(keys, chunk)`` group never exceeds ``limit`` rows.
-    Without hot keys the frame is returned as it is.
+    Spans are cut by position, whatever the gaps in ``seq``: rows are counted by key and
+    stretch of ``seq``, and the stretches of a key are put together until ``limit`` rows
+    are full.  ``seq`` is unique, so a stretch has at most ``limit`` rows and a span at
+    most twice that.  Without hot keys the frame is returned as it is.
     """
     limit = limit or hot_rows_limit(df.sparkSession)
     hot = hot_keys(df, keys, limit)
     if hot is None:
         return df, False
-    span = F.expr(f"seq div {limit}")
-    marked = df.join(F.broadcast(hot), keys, "left").withColumn(
-        "chunk", F.when(F.col("hot_n").isNotNull(), span).otherwise(F.lit(-1).cast("bigint"))
+    stretch = F.coalesce(F.expr(f"seq div {limit}"), F.lit(-(1 << 62)))
+    rows = df.withColumn("_stretch", stretch)
+    counts = rows.select(*keys, "_stretch").join(hot.select(*keys), keys, "left_semi")
+    counts = counts.groupBy(*keys, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    spans = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    spans = materialize(spans.select(*keys, "_stretch", F.expr(f"_before div {limit}").alias("chunk")))
+    marked = rows.join(spans, [*keys, "_stretch"], "left").withColumn(
+        "chunk", F.coalesce("chunk", F.lit(-1).cast("bigint"))
     )
-    return marked.drop("hot_n"), True
+    return marked.drop("_stretch"), True
 
 
 def group_columns(keys: list[str], hot: bool) -> list[str]:
     return [*keys, "chunk"] if hot else list(keys)
 
 
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than it must."""
-    limit = broadcast_rows_limit(df.sparkSession) if limit is None else limit
-    return _probe(df, ("small", limit), lambda: df.limit(limit + 1).count() <= limit)
-
-
 # Rows without a key match nothing; this many salts spread them.
 _NULL_SALTS = 4096
 
@@ -127,28 +123,25 @@ def lookup_join(
     right: DataFrame,
     key: str,
     how: str = "left",
-    small_limit: int | None = None,
     hot_limit: int | None = None,
 ) -> DataFrame:
     """Join against a table that is unique by ``key``.
 
-    A right side of checked size is broadcast.  Otherwise both sides are
-    shuffled: left rows of a hot key are spread over salted copies of its single
-    right row, and left rows without a key are spread at random.
+    Nothing is broadcast by force: Spark does so where the right side's bytes allow, and
+    splits a skewed partition of the left side otherwise (adaptive execution).  Left rows
+    without a key are spread at random.  With ``hot_limit`` the left side is counted first
+    and rows of keys above it are spread over salted copies of their single right row,
+    for sessions without adaptive execution.
     """
-    if is_small(right, small_limit):
-        return left.join(F.broadcast(right), key, how)
-    # a micro-batch is bounded by its trigger and cannot be counted ahead
-    limit = hot_limit or hot_rows_limit(left.sparkSession)
     known = left.filter(F.col(key).isNotNull())
-    hot = None if left.isStreaming else hot_keys(known, [key], limit)
+    hot = None if hot_limit is None else hot_keys(known, [key], hot_limit)
     any_salt = F.xxhash64("seq")
     salt = F.when(F.col(key).isNull(), F.pmod(any_salt, F.lit(_NULL_SALTS)))
     if hot is None:
         spread = left.withColumn("_salt", salt.otherwise(0).cast("int"))
         copied = right.withColumn("_salt", F.lit(0))
     else:
-        copies = F.broadcast(hot.select(key, F.ceil(F.col("hot_n") / F.lit(limit)).alias("_copies")))
+        copies = hot.select(key, F.ceil(F.col("hot_n") / F.lit(hot_limit)).alias("_copies"))
         salt = salt.when(F.col("_copies") > 1, F.pmod(any_salt, F.col("_copies")))
         spread = left.join(copies, key, "left").withColumn("_salt", salt.otherwise(0).cast("int"))
         last = F.coalesce(F.col("_copies"), F.lit(1)).cast("int") - 1

@@ -42,7 +42,7 @@ def world(spark):
     return requests, routes, inventory
 
 
-@pytest.mark.parametrize("options", [{}, {"small_limit": 0}, {"small_limit": 0, "hot_limit": 2}])
+@pytest.mark.parametrize("options", [{}, {"hot_limit": 2}])
 def test_outcomes(spark, options):
     requests, routes, inventory = world(spark)
     out = resolve.resolve_sizes(requests, routes, inventory, **options)
@@ -65,7 +65,7 @@ def test_hot_lookup_equals_plain_join(spark, how):
         spark.createDataFrame([("hot", 99)], "k string, v long")
     )
     plain = left.join(right, "k", how)
-    got = lookup_join(left, right, "k", how, small_limit=0, hot_limit=100)
+    got = lookup_join(left, right, "k", how, hot_limit=100)
     cols = sorted(plain.columns)
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, plain.select(cols).collect()))
 
