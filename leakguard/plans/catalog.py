@@ -17,6 +17,7 @@ from leakguard.operators import buckets, cidr, levels, resolve, stats
 from leakguard.operators.skew import ensure_checkpoint_dir
 from leakguard.plans import rules as rule_ops
 from leakguard.sources import fixtures as fx
+from leakguard.sources import landing
 from leakguard.sources import lines as line_ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,11 +91,12 @@ def _numbered(spark, sf_dir) -> DataFrame:
 
 @query
 def log_lines_scan(spark, sf_dir):
-    """Lines landed as text files and read back through the text source."""
-    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
-    landed = fx.dirty_lines(spark, sf_dir).select(F.concat_ws("\t", "seq", "line").alias("value"))
-    landed.write.text(path)
-    return line_ops.read_log_lines(spark, path)
+    """Raw lines in files, numbered on landing in the order of the files."""
+    folder = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    raw = fx.dirty_lines(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq")
+    raw.select("line").write.text(f"{folder}/raw")
+    landing.land_lines(spark, f"{folder}/raw", f"{folder}/landed")
+    return line_ops.read_log_lines(spark, f"{folder}/landed", format="parquet")
 
 
 @query
@@ -365,9 +367,19 @@ def active_bans(spark, sf_dir):
 
 @query
 def pruned_bans(spark, sf_dir):
-    return ban_ops.unexpired(_every_ban(spark, sf_dir), fx.NOW).select(
-        "prefix", "blame", _us("expires_at")
-    )
+    """Through the ban table: added, some deleted, then pruned."""
+    table = ban_ops.BanTable(spark, f"{ensure_checkpoint_dir(spark)}/bans-{uuid.uuid4().hex}")
+    feeds = _client(spark, sf_dir).withColumn("kind", F.lit(0))
+    table.add(feeds.unionByName(_path(spark, sf_dir).withColumn("kind", F.lit(1)), allowMissingColumns=True), 0)
+    table.delete(table.records().filter("id % 7 = 0"))
+    table.prune(fx.NOW)
+    return table.records().select("id", "prefix", "blame", _us("expires_at"))
+
+
+@query
+def invalid_bans(spark, sf_dir):
+    """How many stored records are skipped for their prefix."""
+    return ban_ops.count_invalid(_stored_manual(spark, sf_dir))
 
 
 @query

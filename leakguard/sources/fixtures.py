@@ -18,9 +18,12 @@ PROFILE = Thresholds(
     ratio_volume=8_000_000,
 )
 IDLE_RESET_S = 4
-NOW = "2024-01-02 00:05:00"
+NOW = "2024-01-02 00:00:30"
 EPOCH_S = 1_704_067_200  # 2024-01-01 00:00:00 UTC
-EPOCH_HOURS = EPOCH_S // 3600
+# Seconds of the event table that make one second of a request: the real gaps are too
+# long to fill a bucket.
+PACE_S = 12 * 3600
+PAGES_PER_USER = 5
 _PATH_RE = "^[a-z]+://[^/]+(/[^?#]*)"
 _HOST_RE = "^[a-z]+://([^/]+)"
 
@@ -46,22 +49,34 @@ def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the record fields they stand for, joined to their page."""
+    """Events with the record fields they stand for, joined to their page.
+
+    Every user is a client; three of eight have an IPv6 address.  A user visits a few of
+    all pages; an event without a page keeps empty texts.
+    """
+    pages = page_paths(spark, sf_dir)
     ev = _table(spark, sf_dir, "events").selectExpr(
         "event_id as seq",
-        # hours replayed as seconds: the real gaps are too long to fill a bucket
-        f"unix_seconds(cast(ts as timestamp)) div 3600 - {EPOCH_HOURS} + {EPOCH_S} as epoch_s",
+        "user_id as u",
+        f"unix_seconds(cast(ts as timestamp)) div {PACE_S} - {EPOCH_S // PACE_S} + {EPOCH_S} as epoch_s",
         "event_id % 1000 as ms",
-        "if(user_id % 16 < 12, concat('198.51.', user_id % 16 + 100, '.7'), "
-        "concat('2001:db8:', lower(hex(user_id % 16)), '::1')) as client",
+        "if(user_id % 8 < 5, "
+        "concat_ws('.', '10', user_id div 256 % 256, user_id % 256, 7 + user_id div 65536 % 240), "
+        "concat('2001:db8:', lower(hex(user_id % 65536)), ':', lower(hex(user_id div 65536)), '::1')) as client",
         "case when event_type in ('click', 'view') then 'GET' when event_type = 'purchase' then 'POST' "
         "when event_type = 'signup' then 'PUT' else 'HEAD' end as method",
         "if(event_type = 'error', 500, 200) as status",
         "cast(round(value * 1000) as bigint) as sent",
         "cast(get_json_object(props, '$.k') as bigint) as k",
     )
-    ev = ev.selectExpr("*", "k % 50 as page_id", "concat('agent-', k % 7) as agent")
-    return ev.join(page_paths(spark, sf_dir), "page_id")
+    count = pages.select(F.max("page_id") + 1).scalar()
+    ev = ev.withColumn("page_id", (F.col("u") * 7 + F.col("k") % PAGES_PER_USER * 37) % count)
+    return ev.join(pages, "page_id", "left").selectExpr(
+        "* except (url, host)",
+        "coalesce(url, '') as url",
+        "coalesce(host, '') as host",
+        "concat('agent-', k % 7) as agent",
+    )
 
 
 def requests(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
@@ -126,7 +141,7 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unique by path: size, directory flag and scan time."""
+    """Unique by path: size, directory flag and scan time; some sizes unknown, some zero."""
     pages = _table(spark, sf_dir, "pages")
     by_path = (
         pages.select(
@@ -139,7 +154,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return by_path.filter(F.col("pid") % 20 != 0).select(
         F.concat(F.lit("/data"), "url").alias("path"),
-        "size",
+        F.when(F.col("pid") % 23 == 6, 0).when(F.col("pid") % 21 != 5, F.col("size")).alias("size"),
         (F.col("pid") % 33 == 7).alias("is_dir"),
         F.timestamp_seconds(F.lit(EPOCH_S)).alias("scanned_at"),
     )

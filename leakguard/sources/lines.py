@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakguard.functions.fields import epoch_time, seconds_to_us, syslog_text
 from leakguard.functions.net import address_family, address_hex
 from leakguard.schemas import LOG_RECORD, REQUEST_COLUMNS
+from leakguard.sources.landing import kafka_lines
 
 READERS: dict[str, Callable] = {}
 PARSERS: dict[str, Callable] = {}
@@ -74,12 +75,10 @@ def read_json(spark: SparkSession, path: str, stream: bool = False, **options) -
 def read_kafka(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
     """Topic named by ``path``; needs the Kafka connector on the class path.
 
-    The offset is the arrival order of a partition.  Producers must key by
-    client, so that one client's lines share a partition.
+    Numbered by partition and offset, see ``landing.kafka_lines``.
     """
     raw = (spark.readStream if stream else spark.read).format("kafka")
-    raw = raw.options(subscribe=path, **options).load()
-    return raw.select(F.col("offset").alias("seq"), F.col("value").cast("string").alias("line"))
+    return kafka_lines(raw.options(subscribe=path, **options).load())
 
 
 def read_log_lines(
@@ -104,26 +103,41 @@ def unpack_syslog(lines: DataFrame) -> DataFrame:
     return text.select(*lines.columns, F.nullif("_text", F.lit("")).alias("body"))
 
 
-_AFTER = "leakguard_end"
+# A record without nested values: white space, an object of strings and bare words.  The
+# repetitions are possessive, so one pass over the text decides.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+_FLAT = rf"(?s)\A[ \t\r\n]*+\{{[^{{}}\[\]\"]*+(?:{_STRING}[^{{}}\[\]\"]*+)*+\}}[ \t\r\n]*+\z"
 
 
-def _one_value(text: Column) -> Column:
-    """Whether ``text`` is one JSON value with nothing but white space around it.
+def _one_object(text: Column) -> Column:
+    """Whether ``text`` is one JSON object with nothing but white space around it.
 
-    A reader stops behind the first value, so the text is read as the first of two
-    elements of a list: anything behind its value breaks or lengthens the list.
+    A reader stops behind the first value and would take text behind it in silence.  A
+    record with nested values is scanned by depth: strings are taken out, and of the
+    brackets left the first may only close at the very end of the text.
     """
-    listed = F.concat(F.lit("["), text, F.lit(f',{{"{_AFTER}":"1"}}]'))
-    parsed = F.from_json(listed, f"array<struct<{_AFTER}:string>>")
-    second = F.get(parsed, F.lit(1)).getField(_AFTER)
-    return (F.size(parsed) == 2) & (second == "1") & ~F.contains(text, F.lit(_AFTER))
+    bare = F.regexp_replace(text, f"(?s){_STRING}", "")
+    closed = F.rlike(bare, F.lit(r"(?s)\A[ \t\r\n]*+\{.*\}[ \t\r\n]*+\z"))
+    brackets = F.split(F.regexp_replace(bare, r"[^{}\[\]]", ""), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
+    walked = F.aggregate(
+        brackets,
+        start,
+        lambda s, c: F.struct(
+            (s["depth"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+            # brackets at which the depth is back at zero; an empty piece is none
+            (s["ends"] + F.when((s["depth"] == 1) & c.isin("}", "]"), 1).otherwise(0)).alias("ends"),
+        ),
+        lambda s: (s["depth"] == 0) & (s["ends"] == 1),
+    )
+    return F.when(F.rlike(text, F.lit(_FLAT)), True).otherwise(closed & walked)
 
 
 @parser("nginx")
 def parse_nginx(lines: DataFrame, body: str) -> DataFrame:
     """Decode the JSON record in ``body``; add request columns and ``reject_reason``."""
     spec = T.StructType([*LOG_RECORD.fields, T.StructField("_broken", T.StringType())])
-    whole = F.when(_one_value(F.col(body)), F.col(body))
+    whole = F.when(_one_object(F.col(body)), F.col(body))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
     decoded = _computed(lines, _r=F.from_json(whole, spec, options))
     decoded = _computed(

@@ -16,27 +16,32 @@ pg AS (
          strlen(html)::BIGINT AS bytes
   FROM pages),
 ev AS (
-  SELECT event_id AS seq, (epoch_us(ts) // 3600000000 - 473352)::BIGINT AS hour_sec,
-         (event_id % 1000)::BIGINT AS ms, user_id % 16 AS c, event_type,
+  SELECT event_id AS seq, (epoch_us(ts) // 43200000000 - 39446)::BIGINT AS pace_sec,
+         (event_id % 1000)::BIGINT AS ms, user_id AS u, event_type,
          CAST(round(value * 1000) AS BIGINT) AS sent,
          CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
   FROM events),
 req AS (
-  SELECT ev.seq, 1704067200 + hour_sec AS sec,
-         ((1704067200 + hour_sec) * 1000000 + ms * 1000)::BIGINT AS time_us, ms, k, c,
-         CASE WHEN c < 12 THEN '198.51.' || (100 + c) || '.7'
-              ELSE '2001:db8:' || lower(to_hex(c)) || '::1' END AS client,
-         CASE WHEN c < 12 THEN '00000000000000000000ffffc633' || lower(lpad(to_hex(100 + c), 2, '0')) || '07'
-              ELSE '20010db8' || lpad(lower(to_hex(c)), 4, '0') || '00000000000000000001' END AS client_key,
-         CASE WHEN c < 12 THEN 4 ELSE 6 END::INTEGER AS family,
-         CASE WHEN c < 12 THEN '198.51.' || (100 + c) || '.7/24'
-              ELSE '2001:db8:' || lower(to_hex(c)) || '::1/48' END AS prefix,
+  SELECT ev.seq, 1704067200 + pace_sec AS sec,
+         ((1704067200 + pace_sec) * 1000000 + ms * 1000)::BIGINT AS time_us, ms, k, client,
+         CASE WHEN u % 8 < 5 THEN '00000000000000000000ffff0a' || lower(lpad(to_hex(u // 256 % 256), 2, '0'))
+                || lower(lpad(to_hex(u % 256), 2, '0')) || lower(lpad(to_hex(7 + u // 65536 % 240), 2, '0'))
+              ELSE '20010db8' || lower(lpad(to_hex(u % 65536), 4, '0')) || lower(lpad(to_hex(u // 65536), 4, '0'))
+                || '0000000000000001' END AS client_key,
+         CASE WHEN u % 8 < 5 THEN 4 ELSE 6 END::INTEGER AS family,
+         CASE WHEN u % 8 < 5 THEN client || '/24' WHEN u < 65536 THEN '2001:db8:' || lower(to_hex(u)) || '::1/48'
+              ELSE client || '/48' END AS prefix,
          '203.0.113.1' AS server,
          CASE event_type WHEN 'click' THEN 'GET' WHEN 'view' THEN 'GET' WHEN 'purchase' THEN 'POST'
               WHEN 'signup' THEN 'PUT' ELSE 'HEAD' END AS method,
-         pg.url, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END::INTEGER AS status, sent,
-         (k * 1000)::BIGINT AS duration_us, pg.host, 'agent-' || (k % 7) AS agent
-  FROM ev JOIN pg ON pg.page_id = k % 50),
+         coalesce(pg.url, '') AS url, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END::INTEGER AS status, sent,
+         (k * 1000)::BIGINT AS duration_us, coalesce(pg.host, '') AS host,
+         'agent-' || (k % 7) AS agent
+  FROM (SELECT *, CASE WHEN u % 8 < 5
+          THEN '10.' || (u // 256 % 256) || '.' || (u % 256) || '.' || (7 + u // 65536 % 240)
+          ELSE '2001:db8:' || lower(to_hex(u % 65536)) || ':' || lower(to_hex(u // 65536)) || '::1' END AS client,
+        (u * 7 + k % 5 * 37) % (SELECT max(page_id) + 1 FROM pages) AS page FROM ev) ev
+  LEFT JOIN pg ON pg.page_id = ev.page),
 parts AS (
   SELECT * EXCLUDE (bare), CASE WHEN strpos(bare, '/') > 0 THEN substr(bare, 1, strpos(bare, '/') - 1) END AS tag,
          CASE WHEN strpos(bare, '/') > 0 THEN substr(bare, strpos(bare, '/')) END AS rest
@@ -46,14 +51,16 @@ tags AS (SELECT DISTINCT split_part(bare, '/', 1) AS tag
          WHERE strpos(bare, '/') > 0),
 routes AS (SELECT tag, '/data/' || tag AS root FROM tags WHERE tag <> 'de'),
 inv AS (
-  SELECT '/data' || url AS path, max(bytes) AS size, min(page_id) % 33 = 7 AS is_dir
+  SELECT '/data' || url AS path, min(page_id) % 33 = 7 AS is_dir,
+         CASE WHEN min(page_id) % 23 = 6 THEN 0 WHEN min(page_id) % 21 <> 5 THEN max(bytes) END AS size
   FROM pg GROUP BY url HAVING min(page_id) % 20 <> 0),
 res AS (
   SELECT parts.*, routes.root || rest AS path FROM parts LEFT JOIN routes USING (tag)),
 sized AS (
   SELECT res.*, inv.size,
          CASE WHEN res.path IS NULL THEN 'NO_ROUTE' WHEN inv.path IS NULL THEN 'MISSING'
-              WHEN inv.is_dir THEN 'IS_DIR' WHEN inv.size = 0 THEN 'EMPTY' ELSE 'SIZE' END AS outcome
+              WHEN inv.is_dir THEN 'IS_DIR'
+              WHEN inv.size IS NULL THEN 'ERROR' WHEN inv.size = 0 THEN 'EMPTY' ELSE 'SIZE' END AS outcome
   FROM res LEFT JOIN inv ON inv.path = res.path),
 tracked AS (
   SELECT *, ((sent::HUGEINT * 100000) // size)::BIGINT AS ratio_cost FROM sized WHERE outcome = 'SIZE'),
@@ -166,7 +173,7 @@ _EVERY = (
        SELECT prefix, blame, expires_us FROM pbans UNION ALL
        SELECT prefix, blame, expires_us FROM manual_json)""",
 )
-_NOW_US = "1704153900000000"
+_NOW_US = "1704153630000000"
 _NUMBERED = (
     *_client_ban_rows(),
     *_path_ban_rows(),
@@ -255,7 +262,7 @@ _CLIENT_OUT = "SELECT seq, client_key, prefix, blame, expires_us FROM cbans"
 _PATH_OUT = "SELECT seq, client_key, url, prefix, blame, expires_us FROM pbans"
 
 ORACLES: dict[str, str] = {
-    "log_lines_scan": f"{_with()} SELECT seq, line FROM dirty",
+    "log_lines_scan": f"{_with()} SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, line FROM dirty",
     "syslog_unpack": f"{_with()} SELECT seq, body FROM bodies",
     "parsed_requests": f"""{_with()} SELECT seq, time_us, client, client_key, family, server, method, url, status,
         sent, CASE WHEN seq % 107 <> 0 THEN duration_us END AS duration_us, host, agent
@@ -323,7 +330,9 @@ ORACLES: dict[str, str] = {
     "all_bans": f"{_with(*_EVERY)} SELECT prefix, blame, expires_us FROM every",
     "active_bans": f"""{_with(*_EVERY, _LIVE)} SELECT prefix, blame, expires_us FROM live
         WHERE prefix <> 'invalid Prefix'""",
-    "pruned_bans": f"{_with(*_EVERY, _LIVE)} SELECT prefix, blame, expires_us FROM live",
+    "pruned_bans": f"""{_with(*_NUMBERED)} SELECT id, prefix, blame, expires_us FROM numbered
+        WHERE id % 7 <> 0 AND expires_us > {_NOW_US}""",
+    "invalid_bans": f"{_with()} SELECT count(*) AS invalid FROM manual_json WHERE prefix = 'invalid Prefix'",
     "bans_with_ids": f"{_with(*_NUMBERED)} SELECT id, seq, kind, prefix, blame, expires_us FROM numbered",
     "bans_after_delete": f"""{_with(*_NUMBERED)} SELECT id, prefix, blame, expires_us FROM numbered WHERE id % 7 <> 0""",
     "ban_rules": f"""{_with(*_EVERY, _LIVE, *_ranges('live'), *_ISLANDS, *_TILES)}

@@ -1,12 +1,14 @@
 """Log lines: envelope, record, field edge cases, rejects."""
 
 import json
+import os
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from leakguard.functions.fields import epoch_time, seconds_to_us, syslog_body
+from leakguard.sources import landing
 from leakguard.sources import lines as src
 from leakguard.sources.inventory import routes_frame, scan_inventory
 
@@ -66,6 +68,14 @@ CASES = [
     (record(client="999.1.1.1"), "client"), (record(client=""), "client"),
     (record(client=None), "client"), (record(server="unix:"), "server"),
     (record(time="abc"), "time"), (record(time=None), "time"), (record(time="1."), "time"),
+    # any text inside a value
+    (record(url="/x?leakguard_end"), None), (record(agent='}{"\\ ][ }\n'), None), (record(url="\\"), None),
+    (record(agent='a","b":"' + "\\" * 3), None), (record(agent="{" * 5_000 + '"' * 5_000), None),
+    # nested values of other fields
+    (record(extra={"a": [1, {"b": "}"}], "c": {}}), None), (record(extra=[]) + "]", "json"),
+    (record(extra={}) + "{}", "json"), (record(extra=[[]]) + " x", "json"), (record(extra={"a": 1}) + "}", "json"),
+    ("[" + record() + "]", "json"), ('"' + "x" * 40 + '"', "json"), (record(extra=[1])[:-1] + "]", "json"),
+    ("x" + record(), "json"), ("\u00a0" + record(), "json"), (record(server="\u2028").replace("\\u2028", "::1"), None),
 ]
 
 
@@ -140,3 +150,50 @@ def test_scan_inventory(spark, tmp_path):
         f"{root}/void": (None, True),
     }
     assert routes_frame(spark, {"en": "/data/en/"}).first().root == "/data/en/"
+
+
+def test_landed_lines_are_numbered_in_order(spark, tmp_path):
+    """Several files, several splits a file: dense numbers in the order of files and lines."""
+    raw, target = tmp_path / "raw", str(tmp_path / "landed")
+    raw.mkdir()
+    want = []
+    for name in ("b.log", "a.log", "c.log", "empty.log"):
+        lines = [f"{name} line {i} {'x' * (i % 50)}" for i in range(0 if name == "empty.log" else 400)]
+        (raw / name).write_text("".join(line + "\n" for line in lines))
+    for name in ("a.log", "b.log", "c.log"):
+        want += (raw / name).read_text().splitlines()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        landing.land_lines(spark, str(raw), target)
+        assert len({r.block for r in landing.raw_lines(spark, str(raw)).select("block").distinct().collect()}) > 3
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = src.read_log_lines(spark, target, format="parquet").orderBy("seq").collect()
+    assert [(r.seq, r.line) for r in got] == list(enumerate(want))
+    # later files go on from there; the oldest first
+    more = tmp_path / "more"
+    more.mkdir()
+    for at, name in enumerate(("z.log", "y.log")):
+        (more / name).write_text(f"{name}\n")
+        os.utime(more / name, (1_700_000_000 + at, 1_700_000_000 + at))
+    landing.land_lines(spark, str(more), target, order="time", start=landing.next_seq(spark, target))
+    got = src.read_log_lines(spark, target, format="parquet").filter("seq >= 1200").orderBy("seq").collect()
+    assert [(r.seq, r.line) for r in got] == [(1200, "z.log"), (1201, "y.log")]
+
+
+def test_raw_syslog_files_become_requests(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    text = "".join(f"<134>Jan  1 00:00:00 edge nginx: {record(url=f'/en/{i}')}\n" for i in range(20))
+    (tmp_path / "raw" / "access.log").write_text(text)
+    landing.land_lines(spark, str(tmp_path / "raw"), str(tmp_path / "landed"))
+    requests, rejects = src.parse_lines(src.read_log_lines(spark, str(tmp_path / "landed"), format="parquet"))
+    assert [(r.seq, r.url) for r in requests.orderBy("seq").collect()] == [(i, f"/en/{i}") for i in range(20)]
+    assert rejects.count() == 0
+
+
+def test_topic_partitions_share_no_number(spark):
+    rows = [(p, o, bytearray(f"{p}/{o}".encode())) for p in (0, 1, 300) for o in (0, 1, 1 << 39)]
+    got = landing.kafka_lines(spark.createDataFrame(rows, "partition int, offset long, value binary")).collect()
+    assert len({r.seq for r in got}) == len(rows)
+    by_seq = [r.line for r in sorted(got, key=lambda r: r.seq)]
+    assert by_seq == [f"{p}/{o}" for p, o, _ in rows]
