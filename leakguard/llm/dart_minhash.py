@@ -33,12 +33,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakguard.llm import dart_kernel
+from leakguard.llm import dart_kernel, worker
 from leakguard.llm.components import bucket_components, crowded_buckets
 from leakguard.llm.shared import fresh, materialize, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(dart_kernel)
+cloudpickle.register_pickle_by_value(worker)
 
 COORDINATES = 128
 BANDS = 25
@@ -64,6 +65,7 @@ def _wordless_key(text: str) -> int:
 
 
 def _node_task(batches):
+    worker.release()
     for batch in batches:
         texts = batch.column(3).to_pylist()
         for start, part in dart_kernel.chunks(texts):
@@ -93,6 +95,7 @@ def _node_task(batches):
 
 
 def _shingle_task(batches):
+    worker.release()
     """node and its sorted 32-bit elements."""
     for batch in batches:
         nodes, texts = batch.column(0), batch.column(1).to_pylist()

@@ -37,6 +37,8 @@ GROUP_PIECES = 4096
 TIGHT = 0.97
 MAX_ROUNDS = 4
 _PASSES = 3
+# Memory for remembered pieces, see ``tokens.MEMORY``.
+_MEMORY = 32 << 20
 _PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PACKED = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint, pid bigint, sequence_id bigint, offset bigint, fill bigint"
 
@@ -48,7 +50,7 @@ def _cut_task(tokenizer: str, end_id: int, size: int):
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], [], []]
             texts = (x.as_py() for x in batch.column(2))
-            for doc, row, encoded in zip(ids, rows, tokens.encode_all(tokenizer, texts), strict=True):
+            for doc, row, encoded in zip(ids, rows, tokens.encode_all(tokenizer, texts, _MEMORY), strict=True):
                 data = encoded + end
                 total = len(data) // 4
                 stop = total % size or size

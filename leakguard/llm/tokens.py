@@ -23,8 +23,10 @@ from leakguard.llm.worker import worker_state
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(worker)
 
-# Pieces remembered by a worker: two generations of this many.
-GENERATION = 550_000
+# Memory of the pieces that a worker remembers, in bytes: two generations of this size at
+# most, and as much again for words.  A smaller one costs time only.
+MEMORY = 112 << 20
+_ENTRY = 190  # a piece's dictionary slot and the heads of its two objects
 _SAFE_CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 # Letters with punctuation behind them are a token each under the splitting rule of
 # either known kind; a single line end between such parts is a third or dropped.
@@ -74,7 +76,7 @@ class _Pieces(dict):
 
     def __init__(self, learn):
         super().__init__()
-        self.learn, self.old, self.unsafe = learn, {}, False
+        self.learn, self.old, self.unsafe, self.held = learn, {}, False, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -84,24 +86,26 @@ class _Pieces(dict):
                 self.unsafe = True
                 return b""
         self[piece] = ids
+        self.held += _ENTRY + len(piece) + len(ids)
         return ids
 
-    def age(self, generation: int) -> None:
+    def age(self, memory: int) -> None:
         """Forget pieces not seen for two generations."""
-        if len(self) > generation:
+        if self.held > memory:
             self.old = dict(self)
             self.clear()
+            self.held = 0
 
 
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, generation: int = GENERATION):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.generation = generation
+        self.memory = memory
         self.pieces = _Pieces(self._behind_space)
         self.words: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
@@ -161,18 +165,20 @@ class PieceEncoder:
         return (self._whole(first) if start is None else start) + ids
 
     def age(self) -> None:
-        self.pieces.age(self.generation)
-        if len(self.words) + len(self.bare) > self.generation:
+        self.pieces.age(self.memory)
+        if (len(self.words) + len(self.bare)) * _ENTRY > self.memory:
             self.words, self.bare, self.marks = {}, {}, {}
 
 
-def encode_all(path: str, texts: Iterable[str]) -> Iterator[bytes]:
+def encode_all(path: str, texts: Iterable[str], memory: int = MEMORY) -> Iterator[bytes]:
     """Ids of each text in order, as little-endian unsigned 32-bit bytes."""
     state = worker_state()
     key = ("encoder", path)
     encoder = state.get(key)
     if encoder is None:
+        state.clear()  # one encoder at a time
         encoder = state[key] = PieceEncoder(path)
+    encoder.memory = memory
     for text in texts:
         encoder.age()
         yield encoder.encode(text)

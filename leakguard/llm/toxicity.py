@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakguard.llm import toxicity_kernel as kernel
+from leakguard.llm import worker
 from leakguard.llm.shared import fresh, text_or_empty
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(kernel)
+cloudpickle.register_pickle_by_value(worker)
 
 # Bounds of the training sample and of the vocabulary.
 MAX_TOXIC = 3_000
@@ -84,6 +86,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sketch_task(batches):
+    worker.release()
     for batch in batches:
         sketches = [kernel.sketch(t) for t in batch.column(0).to_pylist()]
         yield batch.append_column("sketch", pa.array(sketches, pa.int64()))

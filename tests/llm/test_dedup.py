@@ -189,9 +189,30 @@ def test_lines_of_odd_rows(odd_docs):
 
 
 def test_poisson_counts():
-    for mean in (0.0, 0.3, 1.0, 7.5):
-        cdf = mixing.poisson_cdf(mean)
-        assert abs(sum(1 - p for p in cdf) - mean) < 1e-9
+    for mean in (0.0, 0.3, 1.0, 7.5, 100.0, 4096.0):
+        first, cdf = mixing.poisson_cdf(mean)
+        assert abs(first + sum(1 - p for p in cdf) - mean) < 1e-6
+
+
+@pytest.mark.parametrize("mean", [1_000, 10_000])
+def test_large_means_are_poisson(spark, mean):
+    """A tiny source with a large target: mean and variance are the rate."""
+    docs = spark.range(4_000).selectExpr("id as doc_id", "'x' as text", "'tiny' as source")
+    counts = mixing.repetitions(docs, {"tiny": 1.0}, budget=float(mean)).select("repeat").toPandas()["repeat"]
+    assert abs(counts.mean() - mean) < 5 * (mean / 4_000) ** 0.5
+    assert 0.9 < counts.var() / mean < 1.1
+
+
+def test_share_of_absent_sources_goes_to_the_others(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 10) as text", "if(id % 2 = 0, 'a', 'z') as source")
+    out = mixing.mix(docs, {"a": 0.2, "b": 0.3, "c": 0.3}, budget=1.0)
+    rows = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(sum(rows.values()) - 20_000) < 700 and abs(rows["a"] / sum(rows.values()) - 0.5) < 0.02
+    assert mixing.mix(docs, {"b": 1.0}).count() == 0
+    named = docs.selectExpr("*", "7 as copy", "8 as mix_key")
+    got = mixing.mix(named, {"a": 0.2})
+    assert got.columns == ["doc_id", "text", "source", "copy", "mix_key", "_copy", "_mix_key"]
+    assert {(r["copy"], r["mix_key"]) for r in got.select("copy", "mix_key").distinct().collect()} == {(7, 8)}
 
 
 def test_mixing_reaches_the_targets(spark):

@@ -22,7 +22,7 @@ def direct(name):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_pieces_equal_whole_texts(name, docs):
-    encoder, whole = PieceEncoder(tokenizer_path(name), generation=500), direct(name)
+    encoder, whole = PieceEncoder(tokenizer_path(name), memory=100_000), direct(name)
 
     @settings(max_examples=150, deadline=None)
     @given(st.one_of(PIECES.map("".join), st.text(max_size=40)))
