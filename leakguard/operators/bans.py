@@ -15,6 +15,7 @@ from leakguard.operators.skew import materialize, number_rows
 from leakguard.schemas import BAN_RECORD, MANUAL_BAN
 
 _STORED = T.StructType([*BAN_RECORD.fields, T.StructField("batch", T.StringType())])
+_MARK = "first_id long, next_id long"
 
 
 def _at(now: datetime | str | Column) -> Column:
@@ -93,6 +94,11 @@ class BanTable:
     ``deleted/version=V`` deleted ids, ``versions`` one row per version with the
     first free id.  A version becomes visible when its row is appended, so a
     failed compaction leaves the table as it was.  One writer at a time.
+
+    ``marks/version=V/batch=B`` holds the first id of a batch and the first one behind
+    it, ``head/version=V`` the first free id, so that adding a batch does not read the
+    records before it.  They are written in this order: a batch that is written again
+    finds its own ids or the head it started from, whatever a crash left out.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -116,10 +122,18 @@ class BanTable:
     def _records(self, version: int) -> DataFrame:
         return self._read(f"records/version={version}", _STORED)
 
-    def _next_id(self, version: int, first_free: int, batch: str) -> int:
-        others = self._records(version).filter(F.col("batch") != F.lit(batch))
-        top = others.agg(F.max("id")).first()[0]
-        return max(first_free, (top or 0) + 1)
+    def _marks(self, part: str) -> tuple[int, int] | None:
+        top = self._read(part, _MARK).agg(F.min("first_id").alias("a"), F.max("next_id").alias("b")).first()
+        return None if top["b"] is None else (top["a"], top["b"])
+
+    def _first_free(self, version: int, first_free: int) -> int:
+        # a head that was being replaced when its writer died is made up from the marks
+        head = self._marks(f"head/version={version}") or self._marks(f"marks/version={version}")
+        return first_free if head is None else max(first_free, head[1])
+
+    def _mark(self, part: str, first: int, behind: int) -> None:
+        frame = self.spark.createDataFrame([(first, behind)], _MARK)
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{part}")
 
     def records(self) -> DataFrame:
         """Everything not deleted, expired or not."""
@@ -139,21 +153,29 @@ class BanTable:
         """Append records; writing the same ``batch_id`` again replaces that batch.
 
         Ids follow ``seq`` (then ``kind``) when the frame has them, so that a
-        replayed batch gets the same ids.
+        replayed batch gets the same ids.  An empty batch that was never written leaves
+        no trace.
         """
         batch = f"b-{batch_id}" if batch_id is not None else f"u-{uuid.uuid4().hex}"
         version, first_free = self._version()
-        offset = self._next_id(version, first_free, batch) - 1
         seq = "seq" if "seq" in bans.columns else "_seq"
         if seq == "_seq":
             bans = bans.withColumn(seq, F.monotonically_increasing_id())
         order = [seq, *[c for c in ("kind", "prefix", "blame", "expires_at") if c in bans.columns]]
-        # counted and numbered: run the detection behind it only once
-        rows = number_rows(materialize(bans), [F.col(c) for c in order], "id", seq=seq)
-        rows = rows.withColumn("id", F.col("id") + F.lit(offset))
+        staged = materialize(bans)  # counted and numbered: run the detection behind it only once
+        known = self._marks(f"marks/version={version}/batch={batch}")
+        count = staged.count()
+        if not count and known is None:
+            return
+        free = self._first_free(version, first_free)
+        first = free if known is None else known[0]
+        rows = number_rows(staged, [F.col(c) for c in order], "id", seq=seq)
+        rows = rows.withColumn("id", F.col("id") + F.lit(first - 1))
         rows.select(*BAN_RECORD.names).write.mode(
             "overwrite"
         ).parquet(f"{self.path}/records/version={version}/batch={batch}")
+        self._mark(f"marks/version={version}/batch={batch}", first, first + count)
+        self._mark(f"head/version={version}", first, max(free, first + count))
 
     def delete(self, ids: DataFrame) -> None:
         version, _ = self._version()
@@ -161,14 +183,42 @@ class BanTable:
             f"{self.path}/deleted/version={version}"
         )
 
-    def prune(self, now) -> None:
-        """Drop expired and deleted records for good, as a new version."""
+    def prune(self, now, in_flight: str | int | None = None) -> None:
+        """Drop expired and deleted records for good, as a new version.
+
+        ``in_flight`` is a batch that is about to be written, perhaps for the second
+        time: what an earlier attempt left of it is not carried over.
+        """
         version, first_free = self._version()
-        next_id = self._next_id(version, first_free, "")
-        kept = unexpired(self.records(), now)
+        next_id = self._first_free(version, first_free)
+        kept = self._records(version)
+        if in_flight is not None:
+            kept = kept.filter(F.col("batch") != F.lit(f"b-{in_flight}"))
+        deleted = self._read(f"deleted/version={version}", "id long")
+        kept = unexpired(without_deleted(kept.drop("batch"), deleted), now)
         kept.sort("expires_at").write.mode("overwrite").parquet(
             f"{self.path}/records/version={version + 1}/batch=compacted"
         )
         self.spark.createDataFrame(
             [(version + 1, next_id)], "version long, next_id long"
         ).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
+
+    def remove_old_versions(self) -> int:
+        """Delete the files of versions before the current one; returns how many folders went.
+
+        Readers that still use a frame of an old version fail, so call it when none does.
+        """
+        current, _ = self._version()
+        paths = self.spark._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark._jsc.hadoopConfiguration()
+        gone = 0
+        for part in ("records", "deleted", "marks", "head"):
+            folder = paths(f"{self.path}/{part}")
+            files = folder.getFileSystem(conf)
+            if not files.exists(folder):
+                continue
+            for entry in files.listStatus(folder):
+                name = entry.getPath().getName()
+                if name.startswith("version=") and int(name[len("version=") :]) < current:
+                    gone += bool(files.delete(entry.getPath(), True))
+        return gone

@@ -81,7 +81,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
     """Typed requests; ``late`` moves some events back by five seconds."""
-    sec = "if(seq % 50 = 7, epoch_s - 5, epoch_s)" if late else "epoch_s"
+    sec = _LATE_S if late else "epoch_s"
     typed = _events(spark, sf_dir).selectExpr(
         "*",
         f"timestamp_micros({sec} * 1000000 + ms * 1000) as time",
@@ -93,6 +93,7 @@ def requests(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
     ).select(*REQUEST_COLUMNS)
 
 
+_LATE_S = "if(seq % 50 = 7, epoch_s - 5, epoch_s)"
 _TIME_TEXT = "concat(epoch_s, '.', lpad(ms, 3, '0'))"
 _DURATION_TEXT = "concat('0.', lpad(k, 3, '0'))"
 
@@ -111,10 +112,14 @@ def clean_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seq`` and a syslog line per event; the first matching damage applies."""
+def dirty_lines(spark: SparkSession, sf_dir: str, late: bool = False) -> DataFrame:
+    """``seq`` and a syslog line per event; the first matching damage applies.
+
+    ``late`` moves some events back by five seconds.
+    """
+    time = _TIME_TEXT.replace("epoch_s", _LATE_S) if late else _TIME_TEXT
     body = _json_line(
-        f"if(damage = 'time', 'abc', {_TIME_TEXT})",
+        f"if(damage = 'time', 'abc', {time})",
         "if(damage = 'client', '999.1.1.1', client)",
         f"if(damage = 'duration', 'x', {_DURATION_TEXT})",
     )

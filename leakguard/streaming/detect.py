@@ -97,6 +97,52 @@ def stream_path_bans(
     return buckets.ban_records(hits, th.path_measures, th)
 
 
+# Parts that the clients of one path are dealt into: a hot path is that many keys.
+SIZE_PARTS = 16
+_CARRIED = ["client_key", "url", "seq", "family", "time", "sent"]
+
+
+def stream_sizes(requests: DataFrame, routes: DataFrame, lookups: DataFrame, ttl_s: int) -> DataFrame:
+    """Requests with a route, with ``found``, ``is_dir`` and ``size`` of their path.
+
+    ``lookups`` is a stream of ``path, size, is_dir, scanned_at`` (and ``error``), one row
+    for every time a path was looked up: a size and its expiry are state of the path, so
+    new answers reach the requests behind them, nothing is broadcast and the table of
+    sizes may outgrow any executor.  Clients of a path are dealt into ``SIZE_PARTS`` parts,
+    each with a copy of the path's one entry.
+    """
+    split = resolve.resolve_paths(requests, routes).filter(F.col("path").isNotNull())
+    part = F.pmod(F.xxhash64("client_key"), F.lit(SIZE_PARTS)).cast("int")
+    sec = F.unix_seconds("time")
+    asked = split.select("path", part.alias("part"), F.lit(False).alias("lookup"), sec.alias("sec"), *_CARRIED)
+    if "error" in lookups.columns:
+        lookups = lookups.filter(~F.coalesce(F.col("error"), F.lit(False)))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SIZE_PARTS - 1)))
+    told = lookups.filter(F.col("path").isNotNull() & F.col("scanned_at").isNotNull()).select(
+        "path",
+        parts.alias("part"),
+        F.lit(True).alias("lookup"),
+        F.unix_seconds("scanned_at").alias("scanned"),
+        F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
+        F.col("size").cast("bigint").alias("size"),
+    )
+    rows = asked.unionByName(told, allowMissingColumns=True)
+    fields = [asked.schema[c] for c in _CARRIED]
+    fields += [T.StructField("found", T.BooleanType()), T.StructField("is_dir", T.BooleanType()), T.StructField("size", T.LongType())]
+    return rows.groupBy("path", "part").transformWithStateInPandas(
+        processor.SizeProcessor(_CARRIED, ttl_s), outputStructType=T.StructType(fields), outputMode="append", timeMode="None"
+    )
+
+
+def _tracked(requests: DataFrame, routes: DataFrame, inventory: DataFrame, th: Thresholds) -> DataFrame:
+    if not inventory.isStreaming:
+        return resolve.trackable(resolve.resolve_sizes(requests, routes, inventory))
+    sized = stream_sizes(requests, routes, inventory, th.size_ttl_s)
+    found = F.when(F.col("found"), F.lit(True))
+    outcome = resolve.size_outcome(F.col("url"), found, F.col("is_dir"), F.col("size"))
+    return resolve.trackable(sized.withColumn("outcome", outcome))
+
+
 def _now() -> datetime:
     return datetime.now(timezone.utc)
 
@@ -122,6 +168,8 @@ def detect_stream(
     ``state_ttl_s`` drops the state of keys not seen for so many seconds of processing
     time.  That changes results: a key that comes back starts afresh, also when the
     query itself was down for that long.  Without it state is kept for ever.
+    ``inventory`` is a table, a ``FreshInventory`` or a stream of lookups (``stream_sizes``),
+    the one that grows without bound.
     Limit the micro-batch size on the source (``maxFilesPerTrigger`` or
     ``maxOffsetsPerTrigger``): a client's part of one micro-batch is one group.
     """
@@ -132,7 +180,7 @@ def detect_stream(
     requests = accepted(decode_lines(lines, format, envelope))
     fresh = inventory if isinstance(inventory, FreshInventory) else None
     files = fresh.frame if fresh else inventory
-    tracked = resolve.trackable(resolve.resolve_sizes(requests, routes, files))
+    tracked = _tracked(requests, routes, files, th)
     columns = ["seq", "kind", "prefix", "blame", "expires_at"]
     bans = (
         stream_client_bans(requests, th, state_ttl_s)
@@ -146,10 +194,11 @@ def detect_stream(
 
     def store(batch: DataFrame, batch_id: int) -> None:
         nonlocal last_prune
-        # before the append: the earlier batches are committed and will not replay
+        # before the append: the earlier batches are committed and will not replay, and
+        # what an earlier attempt of this one may have left is dropped
         if prune and (clock() - last_prune).total_seconds() >= th.prune_interval_s:
             last_prune = clock()
-            ban_table.prune(last_prune)
+            ban_table.prune(last_prune, in_flight=batch_id)
         ban_table.add(batch, batch_id)
         if fresh:
             fresh.refresh_if_due()

@@ -1,4 +1,4 @@
-"""Bucket state for one key in a stream.
+"""State for one key in a stream: buckets, and the last known size of a path.
 
 Self-contained, like the bucket rule: it travels to the Python workers by value.
 """
@@ -63,3 +63,48 @@ class BucketProcessor(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class SizeProcessor(StatefulProcessor):
+    """Gives requests the last looked-up size of their path.
+
+    Rows are lookups (``lookup`` true) and requests of one part of a path's clients.
+    The lookups of a micro-batch count before its requests.  An entry is good for
+    ``ttl_s`` after its scan, by the time of the request; failed lookups are not kept.
+    """
+
+    def __init__(self, carried, ttl_s):
+        self.carried = carried
+        self.ttl_s = ttl_s
+
+    def init(self, handle) -> None:
+        self.entry = handle.getValueState("entry", "scanned long, is_dir boolean, size long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # bounded by the micro-batch, whose size the trigger options limit
+        pdf = pd.concat(list(rows), ignore_index=True)
+        stored = self.entry.get() if self.entry.exists() else None
+        best = None if stored is None else (stored[0], bool(stored[1]), -1 if stored[2] is None else stored[2])
+        found = pdf[pdf["lookup"]]
+        for scanned, is_dir, size in zip(found["scanned"], found["is_dir"], found["size"]):
+            # of equal times the larger entry: the answer is the same every time
+            entry = (int(scanned), bool(is_dir), -1 if pd.isna(size) else int(size))
+            best = entry if best is None else max(best, entry)
+        if len(found):
+            self.entry.update((best[0], best[1], None if best[2] < 0 else best[2]))
+        asked = pdf[~pdf["lookup"].astype(bool)]
+        if len(asked):
+            out = asked[self.carried].reset_index(drop=True)
+            good = np.zeros(len(out), dtype=bool)
+            if best is not None:
+                good = asked["sec"].to_numpy(np.int64) <= best[0] + self.ttl_s
+                # a looked-up file that is not there is known to be missing
+                good &= best[1] or best[2] >= 0
+            out["found"] = good
+            out["is_dir"] = good & (best is not None and best[1])
+            size = best[2] if best is not None and best[2] >= 0 else None
+            out["size"] = pd.array([size if g else None for g in good], dtype="Int64")
+            yield out
+
+    def close(self) -> None:
+        pass
