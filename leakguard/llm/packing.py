@@ -37,20 +37,18 @@ GROUP_PIECES = 4096
 TIGHT = 0.97
 MAX_ROUNDS = 4
 _PASSES = 3
-# Memory for remembered pieces, see ``tokens.MEMORY``.
-_MEMORY = 32 << 20
 _PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PACKED = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint, pid bigint, sequence_id bigint, offset bigint, fill bigint"
 
 
-def _cut_task(tokenizer: str, end_id: int, size: int):
+def _cut_task(tokenizer: str, end_id: int, size: int, memory: int):
     def cut(batches):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[list] = [[], [], [], [], [], []]
             texts = (x.as_py() for x in batch.column(2))
-            for doc, row, encoded in zip(ids, rows, tokens.encode_all(tokenizer, texts, _MEMORY), strict=True):
+            for doc, row, encoded in zip(ids, rows, tokens.encode_all(tokenizer, texts, memory), strict=True):
                 data = encoded + end
                 total = len(data) // 4
                 stop = total % size or size
@@ -69,12 +67,17 @@ def _cut_task(tokenizer: str, end_id: int, size: int):
     return cut
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE) -> DataFrame:
-    """One row per piece; ``row`` tells repeated documents apart."""
+def cut_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, size: int = SEQUENCE, memory: int = tokens.MEMORY
+) -> DataFrame:
+    """One row per piece; ``row`` tells repeated documents apart.
+
+    ``memory`` bounds the pieces that a worker remembers, see ``tokens.MEMORY``.
+    """
     rows = docs.select(
         F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), text_or_empty("text").alias("text")
     )
-    return rows.mapInArrow(_cut_task(tokenizer, end_id, size), _PIECES)
+    return rows.mapInArrow(_cut_task(tokenizer, end_id, size, memory), _PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -212,7 +215,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, group_pieces: int =
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int = SEQUENCE,
+    group_pieces: int = GROUP_PIECES,
+    memory: int = tokens.MEMORY,
+) -> DataFrame:
     """Per piece of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    packed = pack_pieces(cut_pieces(docs, tokenizer, end_id, capacity), capacity, group_pieces)
+    packed = pack_pieces(cut_pieces(docs, tokenizer, end_id, capacity, memory), capacity, group_pieces)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -197,3 +197,24 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     got = QUERIES["pipeline"](spark, sf_dir)
     rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "piece", "start", "length", "ids_crc32").collect())
     assert rows(got) == rows(packed)
+
+
+def test_pipeline_stages_of_odd_and_empty_tables(spark, odd_docs, no_docs, sf_dir):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    n = odd_docs.count()
+    for name in ("toxicity", "exact dedup", "MinHash near-dedup", "mixing"):
+        for docs in (odd_docs, no_docs):
+            out = stages[name](spark, docs, sf_dir)
+            assert out.columns == docs.columns
+            # mixing draws counts; the other stages only drop rows
+            assert name == "mixing" or out.count() <= (n if docs is odd_docs else 0)
+        assert stages[name](spark, no_docs, sf_dir).count() == 0
+    kept = stages["exact dedup"](spark, odd_docs, sf_dir).collect()
+    # empty, null and blank texts are one group, the three spellings of one text another
+    assert sum((r.text or "").strip() == "" for r in kept) == 1
+    assert sum((r.text or "").replace(" ", "") == "onetwothree" for r in kept) == 1
+    packed = stages["packing"](spark, odd_docs, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in odd_docs.select("doc_id").collect()}
+    assert stages["packing"](spark, no_docs, sf_dir).count() == 0
