@@ -1,9 +1,15 @@
 """A corpus pipeline: five stages, each on all that the stage before it kept.
 
 ``run`` writes each stage's rows as Parquet in shared storage and reads them again, so a
-lost executor repeats a stage's tasks at most.  No stage can be expressed in SQL as a
-whole (a trained classifier, hashed signatures), hence no ``ORACLE_SQL``; the tests
-compare the stages with brute force on small tables.
+lost executor repeats a stage's tasks at most.  The first and third stage cannot be
+expressed in SQL (a trained classifier, hashed signatures), hence no ``ORACLE_SQL``; the
+tests compare each operator with brute force, and ``run`` with its stages one by one.
+
+Defined results: a null text counts as empty, and empty texts are copies of each other; a
+null ``doc_id``, ``lang`` or ``source`` is a value like any other (a null source has no
+target of its own); of equal rows one stays, ties going to the smaller ``doc_id``; texts
+of any length are read whole; extra columns, whatever their names, pass through the
+stages up to mixing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    # the stages before left their own memory in use, so fewer pieces are remembered
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, memory=32 << 20)
 
 
 STAGES = [
