@@ -108,8 +108,10 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_one_shuffle_for_levels_and_bans(spark, sf_dir):
-    requests = fx.requests(spark, sf_dir)
+def test_one_shuffle_for_levels_and_bans(spark, sf_dir, tmp_path):
+    # stored, so that the plans hold the operators alone and not how the fixture counts pages
+    fx.requests(spark, sf_dir).write.parquet(str(tmp_path / "requests"))
+    requests = spark.read.parquet(str(tmp_path / "requests"))
     for df in (
         levels.client_levels(requests, fx.PROFILE),
         levels.client_levels(requests, fx.PROFILE, floor=True),
