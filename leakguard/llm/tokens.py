@@ -23,10 +23,12 @@ from leakguard.llm.worker import worker_state
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(worker)
 
-# Memory of the pieces that a worker remembers, in bytes: two generations of this size at
-# most, and as much again for words.  A smaller one costs time only.
+# Memory of the pieces that a worker remembers, in bytes: two generations of this size, and
+# as much again for words.  A smaller one costs time only.  A piece is taken as ``_ENTRY``
+# bytes, which is what words need; none of more than ``_LONGEST`` characters is remembered,
+# so the memory has a bound whatever the texts hold.
 MEMORY = 112 << 20
-_ENTRY = 190  # a piece's dictionary slot and the heads of its two objects
+_ENTRY, _LONGEST = 210, 64
 _SAFE_CUT = re.compile(r"(?<=[\w!-~]) (?=[\w!-~])")
 # Letters with punctuation behind them are a token each under the splitting rule of
 # either known kind; a single line end between such parts is a third or dropped.
@@ -76,7 +78,7 @@ class _Pieces(dict):
 
     def __init__(self, learn):
         super().__init__()
-        self.learn, self.old, self.unsafe, self.held = learn, {}, False, 0
+        self.learn, self.old, self.unsafe = learn, {}, False
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -85,16 +87,15 @@ class _Pieces(dict):
             if ids is None:
                 self.unsafe = True
                 return b""
-        self[piece] = ids
-        self.held += _ENTRY + len(piece) + len(ids)
+        if len(piece) <= _LONGEST:
+            self[piece] = ids
         return ids
 
     def age(self, memory: int) -> None:
         """Forget pieces not seen for two generations."""
-        if self.held > memory:
+        if len(self) * _ENTRY > memory:
             self.old = dict(self)
             self.clear()
-            self.held = 0
 
 
 class PieceEncoder:
