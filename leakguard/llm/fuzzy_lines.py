@@ -5,15 +5,14 @@ space.  A line's SimHash has two words of 63 bits, each bit the majority of that
 the hashes of the line's distinct words.  The 126 bits are cut into fourteen blocks of
 ``BLOCK`` bits, and a line is put under ``KEYS`` keys of two blocks each, dealt so that every
 block is in nearly as many keys.  Two lines that share a key and differ in at most
-``MAX_DISTANCE`` bits are candidates; as a SimHash of words says nothing of their order, two
-lines of more than ``FEW_WORDS`` words must also have a share ``ORDER`` of their neighbouring
-words in common, unless they are alike word by word.  Lines of at most ``FEW_WORDS`` words get a
-second SimHash over their character 4-grams, so that one word, or a script without spaces, is
-no obstacle.  Lines of at most ``SHORT`` characters also get what is left of them after up to
+``MAX_DISTANCE`` bits are candidates.  Lines of at most ``FEW_WORDS`` words get a second
+SimHash over their character 4-grams, so that one word, or a script without spaces, is no
+obstacle.  Lines of at most ``SHORT`` characters also get what is left of them after up to
 two deletions: no pair of at least 0.8 between two such lines is lost, since both come down to
 the same text by at most a fifth of the longer.  No line is left out for its number of words
 or characters.
-Two candidates are linked if the edit similarity of the normalised lines is 0.8 or more.
+Two candidates are linked if the edit similarity of the normalised lines is 0.8 or more,
+which is decided exactly: bounds only accept, and only what the distance would accept too.
 Of the occurrences in a connected group the first stays, by doc_id (null last), then row,
 then place in the text.
 
@@ -48,9 +47,9 @@ SIMILARITY = 0.8
 BLOCK = 8
 KEYS = 14
 MAX_DISTANCE = 28
-# Least share of neighbouring words that lines of many words have in common.
-ORDER = 0.1
 FEW_WORDS = 10
+# Lines of more characters are compared by words before they are by characters.
+LONG = 2_000
 # A fifth of this many characters is at most two edits.
 SHORT = 14
 _GRAM = 4
@@ -146,16 +145,16 @@ def _near(least: float) -> Callable[[str, str], str]:
     return lambda x, y: f"abs({x} - {y}) <= floor({1 - least!r}D * greatest({x}, {y}) + 1e-9D)"
 
 
-def _in_order(left: Column, right: Column) -> Column:
-    """Whether two lines of words have enough neighbouring words in common; true up to ``FEW_WORDS`` words."""
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def pairs(words: Column) -> Column:
-        n = F.size(words)
-        return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda x, y: F.hash(x, y)))
 
-    few = F.least(F.size(left), F.size(right)) <= FEW_WORDS
-    common = F.size(F.array_intersect(pairs(left), pairs(right)))
-    return few | (common >= ORDER * (F.greatest(F.size(left), F.size(right)) - 1))
+def _differing(left: Column, right: Column) -> Column:
+    """Both lists of words, as (left, right), from the first place where they differ, last word first."""
+    place = F.array_position(F.zip_with(left, right, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    rest = lambda words, at: F.reverse(F.slice(words, at, F.size(words)))
+    return _once(F.greatest(place.cast("int"), F.lit(1)), lambda at: F.struct(rest(left, at).alias("left"), rest(right, at).alias("right")))
 
 
 def _placewise(left: Column, right: Column, allowed: Column) -> Column:
@@ -181,19 +180,43 @@ def _wordwise(left: Column, right: Column, allowed: Column) -> Column:
     return apart & (F.call_function("levenshtein", spelt(left), spelt(right), edits) >= 0)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of at least the edit similarity.
+def _alike(left: Column, right: Column, allowed: Column) -> Column:
+    """Whether two texts are ``allowed`` edits apart or fewer."""
+    return F.call_function("levenshtein", left, right, allowed) >= 0
+
+
+def _long_alike(left: Column, right: Column, allowed: Column) -> Column:
+    """``_alike`` of lists of words, whose time would grow with the square of their length.
 
-    Bounds from above settle most links; the edit distance itself is for the rest.
+    Words that both begin or end with are no edits.  Bounds from above settle most links
+    between the others; the whole distance is for the rest, after a smaller one.
     """
+    # a space after every word: what is cut off is a whole prefix and suffix of both
+    spelt = lambda words: F.concat(F.array_join(words, " "), F.when(F.size(words) > 0, " ").otherwise(""))
+
+    def within(t: Column) -> Column:
+        x, y = t["left"], t["right"]
+        few = F.greatest(F.length(x), F.length(y)) <= allowed
+        return few | _alike(x, y, F.floor(allowed / 16).cast("int")) | _alike(x, y, allowed)
+
+    def settled(w: Column) -> Column:
+        x, y = w["left"], w["right"]
+        texts = F.struct(spelt(x).alias("left"), spelt(y).alias("right"))
+        return _placewise(x, y, allowed) | _wordwise(x, y, allowed) | _once(texts, within)
+
+    return _once(_differing(left, right), lambda w: _once(_differing(w["left"], w["right"]), settled))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of at least the edit similarity: all of them, and no others."""
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
     longest = F.greatest(F.length("left"), F.length("right"))
     allowed = F.floor((1 - F.lit(least)) * longest + F.lit(1e-9)).cast("int")
-    near = both.withColumn("allowed", allowed).filter(F.abs(F.length("left") - F.length("right")) <= F.col("allowed"))
+    near = both.withColumns({"longest": longest, "allowed": allowed})
+    near = near.filter(F.abs(F.length("left") - F.length("right")) <= F.col("allowed"))
     x, y, most = F.split("left", " ", -1), F.split("right", " ", -1), F.col("allowed")
-    # the cost grows with the allowed edits, and most links need few of them
-    steps = F.expr(" or ".join(f"levenshtein(left, right, cast(allowed div {d} as int)) >= 0" for d in (16, 1)))
-    return near.filter(_placewise(x, y, most) | (_in_order(x, y) & (_wordwise(x, y, most) | steps))).select("a", "b")
+    short = _placewise(x, y, most) | _alike(F.col("left"), F.col("right"), most)
+    return near.filter(F.when(F.col("longest") <= LONG, short).otherwise(_long_alike(x, y, most))).select("a", "b")
 
 
 def _with_partner(members: DataFrame, near: str) -> DataFrame:

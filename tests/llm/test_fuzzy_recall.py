@@ -92,3 +92,35 @@ def test_bounds_from_above_accept_no_pair_below_the_similarity(spark):
     for bound in (fuzzy_lines._placewise, fuzzy_lines._wordwise):
         accepted = pairs.filter(bound(x, y, most)).selectExpr("l", "r", "levenshtein(l, r) <= most as near").collect()
         assert all(r.near for r in accepted) and any(r.l != r.r for r in accepted)
+
+
+def test_links_without_neighbouring_words_in_common(spark):
+    """A letter changed in every other word: no two neighbouring words stay, 0.9 of the characters do."""
+    for n in (14, 60, 400):  # the last one is compared by words first
+        words = [f"word{i:03}" for i in range(n)]
+        other = ["x" + w[1:] if i % 2 else w for i, w in enumerate(words)]
+        lines = [" ".join(words), " ".join(other), " ".join(reversed(words))]
+        assert (0, 1) in near_pairs(spark, lines)
+        pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a bigint, b bigint")
+        texts = spark.createDataFrame(list(enumerate(lines)), "node bigint, norm string")
+        assert [(r.a, r.b) for r in fuzzy_lines._verify(pairs, texts, 0.8).collect()] == near_pairs(spark, lines)
+
+
+def test_verified_pairs_are_those_of_the_distance(spark, monkeypatch):
+    """Lines short and long, of which words were moved, dropped, repeated and changed."""
+    monkeypatch.setattr(fuzzy_lines, "LONG", 60)
+    rng = random.Random(6)
+    words = ["a", "of", "tree", "house", "straße", "一丁", "\U0001f600x", "extraordinary"]
+    lines = []
+    for _ in range(25):
+        left = [rng.choice(words) for _ in range(rng.randint(1, 25))]
+        lines.append(left)
+        for _ in range(3):
+            at, to = sorted(rng.choices(range(len(left) + 1), k=2))
+            right = rng.choice([left[to:] + left[:to], left[:at] + left[to:], left[:to] + left[at:], left + left[:1], left[1:], [*left[:at], "on", *left[at:]]])
+            lines.append([w[:-1] if rng.random() < 0.1 and len(w) > 1 else w for w in right] or ["a"])
+    lines = sorted({" ".join(x) for x in lines})
+    pairs = spark.createDataFrame([(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines))], "a bigint, b bigint")
+    texts = spark.createDataFrame(list(enumerate(lines)), "node bigint, norm string")
+    want = near_pairs(spark, lines)
+    assert sorted((r.a, r.b) for r in fuzzy_lines._verify(pairs, texts, 0.8).collect()) == sorted(want) and len(want) > 20
