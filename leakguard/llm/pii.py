@@ -4,10 +4,12 @@ Generators with high recall propose spans of four kinds (email, ip, card, phone)
 base spans, those that pass their kind's exact check, always stay.  Other proposals
 (spelled-out addresses, national phone numbers, long ip forms, and base proposals that
 fail a check) are scored by gradient-boosted trees over format and context features.
-The trees learn from the base spans (positive) and failed proposals (negative) of a
-bounded sample; the features leave out the checks themselves.  A threshold per kind is
-calibrated on proposals outside the training part so that at least ``PRECISION`` of
-what it selects there is right.  Selected spans that overlap a base span or a better
+The trees learn from base spans (positive) and failed proposals (negative), from two
+thirds of all there are; the features leave out the checks themselves.  A threshold per
+kind is calibrated on all of the other third so that at least ``PRECISION`` of what it
+selects there is right; it is a step of ``STEPS`` between 0 and 1.  Nothing is sampled here;
+Spark's learner takes the values at which a tree may split from some 10,000 training rows,
+and decides between them by counting all.  Selected spans that overlap a base span or a better
 selected span are left out.
 
 Everything is column expressions and Spark's own learner: one scan proposes all spans,
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 from leakguard.llm.shared import fresh, materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-# Bounds of the sample that the trees and the thresholds are fitted on.
-MAX_TRAINING = 8_000
 PRECISION = 0.98
+STEPS = 4_096  # of a score between 0 and 1, when thresholds are counted
 MIN_SUPPORT = 20  # proposals above a threshold when it is calibrated
 ROUNDS, DEPTH = 8, 3
 
@@ -150,30 +151,34 @@ def _features(spans: DataFrame) -> DataFrame:
     return spans.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
-def _thresholds(scored: DataFrame) -> dict[str, float]:
-    """Per kind the lowest score at which the calibration rows reach the precision.
+def _thresholds(scored: DataFrame) -> dict[str, int]:
+    """Per kind the lowest step of the score from which on the calibration rows reach the precision.
 
-    ``scored`` is at most ``MAX_TRAINING`` rows; a kind without enough of them gets the
-    threshold of all kinds together.
+    ``scored`` has kind, step and label of every row; they are counted by kind and step, so
+    that at most ``STEPS + 1`` rows of a kind reach the driver.  A kind without enough rows
+    gets the threshold of all kinds together.
     """
-    rows = [(r["kind"], r["score"], r["label"]) for r in scored.collect()]
-
-    def lowest(part: list[tuple[float, float]]) -> float | None:
-        part.sort(reverse=True)
-        right, found = 0.0, None
-        for i, (s, y) in enumerate(part, 1):
-            right += y
-            last_of_score = i == len(part) or part[i][0] != s
-            if last_of_score and i >= MIN_SUPPORT and right >= PRECISION * i:
-                found = s
+    counted = scored.groupBy("kind", "step").agg(F.count("*").alias("n"), F.sum("label").alias("right"))
+    rows = [(r["kind"], r["step"], r["n"], r["right"]) for r in counted.collect()]
+
+    def lowest(part: list[tuple[str, int, int, float]]) -> int | None:
+        by_step: dict[int, tuple[int, float]] = {}
+        for _, step, n, right in part:
+            before = by_step.get(step, (0, 0.0))
+            by_step[step] = (before[0] + n, before[1] + right)
+        selected, good, found = 0, 0.0, None
+        for step in sorted(by_step, reverse=True):
+            selected, good = selected + by_step[step][0], good + by_step[step][1]
+            if selected >= MIN_SUPPORT and good >= PRECISION * selected:
+                found = step
         return found
 
-    together = lowest([(s, y) for _, s, y in rows])
+    together = lowest(rows)
     out = {}
     for kind in KINDS:
-        own = lowest([(s, y) for k, s, y in rows if k == kind])
-        best = max([x for x in (own, together, 0.5) if x is not None])
-        out[kind] = best if own is not None or together is not None else 2.0
+        own = lowest([r for r in rows if r[0] == kind])
+        best = max([x for x in (own, together, STEPS // 2) if x is not None])
+        out[kind] = best if own is not None or together is not None else 2 * STEPS
     return out
 
 
@@ -186,23 +191,21 @@ def added_spans(spans: DataFrame) -> DataFrame | None:
     featured = _features(spans)
     names = [c for c in featured.columns if c.startswith("f_")]
     vector = VectorAssembler(inputCols=names, outputCol="features")
-    order = F.xxhash64("row", "generator", "n")
-    parts = []
-    for valid in (True, False):  # either class has a bound of its own
-        of = featured.filter(F.col("valid") == valid).withColumn("order", order)
-        parts.append(of.orderBy("order").limit(MAX_TRAINING // 2))
-    sample = parts[0].union(parts[1]).withColumn("label", F.col("valid").cast("double"))
-    sample = materialize(sample.select("kind", "label", "order", *names), "pii-sample")
-    train = sample.filter(F.pmod("order", F.lit(3)) != 0)
+    # the part goes by what a proposal is, so that it is the same in every order of the rows
+    part = F.pmod(F.xxhash64("doc_id", "generator", "start", "found"), F.lit(3))
+    known = featured.filter("valid is not null").select("kind", F.col("valid").cast("double").alias("label"), part.alias("part"), *names)
+    known = materialize(known, "pii-known")
+    train = known.filter("part <> 0")
     if train.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(vector.transform(train))
     score = vector_to_array("probability")[1]
-    held = vector.transform(sample.filter(F.pmod("order", F.lit(3)) == 0))
-    limits = _thresholds(model.transform(held).select("kind", score.alias("score"), "label"))
+    step = F.floor(score * STEPS).cast("int")
+    held = vector.transform(known.filter("part = 0"))
+    limits = _thresholds(model.transform(held).select("kind", step.alias("step"), "label"))
     least = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col("kind")]
     rest = vector.transform(featured.filter("coalesce(valid, false) = false"))
-    chosen = model.transform(rest).withColumn("score", score).filter(F.col("score") >= least)
+    chosen = model.transform(rest).withColumn("score", score).filter(step >= least)
     return chosen.select("doc_id", "row", "kind", "start", "end", "score")
 
 

@@ -134,6 +134,42 @@ def test_personal_data_of_odd_rows(odd_docs, no_docs):
     assert pii.personal_data(no_docs).count() == 0
 
 
+def test_trees_and_thresholds_take_all_proposals(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    texts = ["; ".join(f"a{i}x{k}@b.co; {i * 50 + k}" for k in range(50)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    fit, thresholds, taken = GBTClassifier.fit, pii._thresholds, {}
+
+    def counted(name, own):
+        def call(*args):
+            taken[name] = args[-1].count()
+            return own(*args)
+
+        return call
+
+    monkeypatch.setattr(GBTClassifier, "fit", counted("trees", fit))
+    monkeypatch.setattr(pii, "_thresholds", counted("thresholds", thresholds))
+    assert pii.find_spans(docs).count() == 200
+    # an address and three numbers, as a number is proposed within an address too
+    assert sum(taken.values()) == 200 * 50 * 4 and 12_500 < taken["thresholds"] < 14_000
+
+
+def test_thresholds_equal_plain_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(rng.choice(pii.KINDS[:3])), int(s), float(rng.random() < (s / 4_096) ** 0.02)) for s in rng.integers(0, 4_097, 9_000)]
+    rows += [("phone", 3_000, 1.0)] * (pii.MIN_SUPPORT - 1)
+
+    def lowest(part):
+        good = [x for x in {s for _, s, _ in part} if len(y := [v for _, s, v in part if s >= x]) >= pii.MIN_SUPPORT and sum(y) >= pii.PRECISION * len(y)]
+        return min(good)
+
+    got = pii._thresholds(spark.createDataFrame(rows, "kind string, step int, label double"))
+    together = lowest(rows)
+    want = {k: max(together, 2_048, lowest([r for r in rows if r[0] == k]) if k != "phone" else 0) for k in pii.KINDS}
+    assert got == want
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "to a@b.co at 10.0.0.1."), (2, None), (3, "clean")], "doc_id bigint, text string").selectExpr("*", "1 as of", "2 as listed")
     out = pii.redact(docs, pii.find_spans(docs))
