@@ -48,7 +48,7 @@ BLOCK = 8
 KEYS = 14
 MAX_DISTANCE = 28
 FEW_WORDS = 10
-# Lines of more characters are compared by words before they are by characters.
+# Texts of more characters are compared with fewer edits allowed first.
 LONG = 2_000
 # A fifth of this many characters is at most two edits.
 SHORT = 14
@@ -86,14 +86,19 @@ def _majority(counts: list[Column], n: Column) -> Column:
     return functools.reduce(Column.bitwiseOR, (F.shiftleft(carry(c), i) for i, c in enumerate(counts)))
 
 
-def line_hashes(distinct: DataFrame) -> DataFrame:
-    """Per distinct line (node, norm) and kind of features: node, grams (else words), first, second (63 bits each)."""
+def line_hashes(lines: DataFrame) -> DataFrame:
+    """Per distinct line of (node, norm) and kind of features: node, grams (else words), first, second (63 bits each)."""
     # every 4-gram is a whole one from one of four starts
     grams = F.concat(*(F.regexp_extract_all(F.substring("norm", i + 1, 2**31 - 1), F.lit(f".{{{_GRAM}}}"), 0) for i in range(_GRAM)))
-    hashed = lambda features: F.array_distinct(F.transform(features, lambda x: F.xxhash64(x)))
-    words = distinct.select("node", F.lit(False).alias("grams"), F.explode(hashed(F.split("norm", " ", -1))).alias("h0"))
-    few = distinct.filter(F.substring_index("norm", " ", FEW_WORDS) == F.col("norm"))
-    pieces = few.select("node", F.lit(True).alias("grams"), F.explode(hashed(grams)).alias("h0"))
+
+    def hashed(distinct: DataFrame, is_grams: bool, features: Column) -> DataFrame:
+        one = distinct.select("node", F.explode(F.array_distinct(features)).alias("feature"))
+        return one.select("node", F.lit(is_grams).alias("grams"), F.xxhash64("feature").alias("h0"))
+
+    words = hashed(_distinct(lines), False, F.split("norm", " ", -1))
+    # lines of few words are taken before they are made distinct, so that not all lines are a second time
+    few = lines.filter(F.substring_index("norm", " ", FEW_WORDS) == F.col("norm"))
+    pieces = hashed(_distinct(few), True, grams)
     bit = lambda h, i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))
     sums = [F.sum(bit(h, i)).alias(f"s{w}_{i}") for w, h in enumerate(("h0", "h1")) for i in range(_LANE)]
     both = (_majority([F.col(f"s{w}_{i}") for i in range(_LANE)], F.col("n")).alias(x) for w, x in ((0, "first"), (1, "second")))
@@ -185,26 +190,29 @@ def _alike(left: Column, right: Column, allowed: Column) -> Column:
     return F.call_function("levenshtein", left, right, allowed) >= 0
 
 
-def _long_alike(left: Column, right: Column, allowed: Column) -> Column:
-    """``_alike`` of lists of words, whose time would grow with the square of their length.
+def _words_alike(left: Column, right: Column, allowed: Column) -> Column:
+    """``_alike`` of lists of words.
 
     Words that both begin or end with are no edits.  Bounds from above settle most links
-    between the others; the whole distance is for the rest, after a smaller one.
+    between the others; the whole distance, whose time grows with the square of the length,
+    is for the rest.
     """
     # a space after every word: what is cut off is a whole prefix and suffix of both
     spelt = lambda words: F.concat(F.array_join(words, " "), F.when(F.size(words) > 0, " ").otherwise(""))
 
     def within(t: Column) -> Column:
         x, y = t["left"], t["right"]
-        few = F.greatest(F.length(x), F.length(y)) <= allowed
-        return few | _alike(x, y, F.floor(allowed / 16).cast("int")) | _alike(x, y, allowed)
+        longest = F.greatest(F.length(x), F.length(y))
+        fewer = (longest > LONG) & _alike(x, y, F.floor(allowed / 16).cast("int"))
+        return (longest <= allowed) | fewer | _alike(x, y, allowed)
 
     def settled(w: Column) -> Column:
         x, y = w["left"], w["right"]
         texts = F.struct(spelt(x).alias("left"), spelt(y).alias("right"))
-        return _placewise(x, y, allowed) | _wordwise(x, y, allowed) | _once(texts, within)
+        return _wordwise(x, y, allowed) | _once(texts, within)
 
-    return _once(_differing(left, right), lambda w: _once(_differing(w["left"], w["right"]), settled))
+    cut = _once(_differing(left, right), lambda w: _once(_differing(w["left"], w["right"]), settled))
+    return _placewise(left, right, allowed) | cut
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -212,11 +220,9 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
     longest = F.greatest(F.length("left"), F.length("right"))
     allowed = F.floor((1 - F.lit(least)) * longest + F.lit(1e-9)).cast("int")
-    near = both.withColumns({"longest": longest, "allowed": allowed})
-    near = near.filter(F.abs(F.length("left") - F.length("right")) <= F.col("allowed"))
-    x, y, most = F.split("left", " ", -1), F.split("right", " ", -1), F.col("allowed")
-    short = _placewise(x, y, most) | _alike(F.col("left"), F.col("right"), most)
-    return near.filter(F.when(F.col("longest") <= LONG, short).otherwise(_long_alike(x, y, most))).select("a", "b")
+    near = both.withColumn("allowed", allowed).filter(F.abs(F.length("left") - F.length("right")) <= F.col("allowed"))
+    words = (F.split(c, " ", -1) for c in ("left", "right"))
+    return near.filter(_words_alike(*words, F.col("allowed"))).select("a", "b")
 
 
 def _with_partner(members: DataFrame, near: str) -> DataFrame:
@@ -243,7 +249,7 @@ def _line_classes(docs: DataFrame, least: float) -> DataFrame:
     lines = materialize(line_table(docs), "lines", "zstd")
     worded = lines.filter("node is not null")
     # the words of a line are counted where the line was shuffled to
-    hashes = materialize(line_hashes(_distinct(worded)), "line-hashes")
+    hashes = materialize(line_hashes(worded), "line-hashes")
     short = _distinct(worded.filter(F.length("norm") <= SHORT)).select("node", F.col("norm").alias("short"))
     # members that have a partner; a member comes out once, however many it has
     near = f"bit_count(x.first ^ y.first) + bit_count(x.second ^ y.second) <= {MAX_DISTANCE}"
