@@ -71,6 +71,7 @@ def bucket_components(
     verify: Callable[[DataFrame], DataFrame],
     large: int | None = None,
     compare: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    verify_strays: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of the links among nodes that share a bucket.
 
@@ -80,6 +81,8 @@ def bucket_components(
     with the bucket's members of other components.  A pair within a component cannot
     change it, so no link between members of a bucket is lost.  In buckets of more than
     ``large`` members, ``compare`` does the second step and returns links only.
+    ``verify_strays`` takes the place of ``verify`` in the second step, where most pairs are
+    no links; both have the same result.
     """
     stars = crowded.filter("node <> pivot").filter(alike("trait", "pivot_trait"))
     stars = materialize(stars.selectExpr("pivot as a", "node as b").distinct(), "stars")
@@ -97,7 +100,7 @@ def bucket_components(
     placed = materialize(placed.join(with_strays, "bucket").filter("node <> pivot").drop("pivot", "main"), "placed")
     small = placed if large is None else placed.filter(F.col("n") <= large)
     pairs = materialize(cross_pairs(small.filter("stray"), small, alike), "pairs")
-    found = verify(pairs)
+    found = (verify_strays or verify)(pairs)
     if large is not None:
         wide = placed.filter(F.col("n") > large)
         found = found.union(compare(wide.filter("stray"), wide))

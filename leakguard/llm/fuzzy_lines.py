@@ -1,35 +1,34 @@
-"""Line deduplication with fuzzy matches (SimHash, pigeonhole blocks, edit distance).
+"""Line deduplication with fuzzy matches (weighted minhashes, keys of four, edit distance).
 
 Lines are normalised: lowered, runs of other characters than letters and digits become a
-space.  A line's SimHash has two words of 63 bits, each bit the majority of that bit over
-the hashes of the line's distinct words.  The 126 bits are cut into fourteen blocks of
-``BLOCK`` bits, and a line is put under ``KEYS`` keys of two blocks each, dealt so that every
-block is in nearly as many keys.  Two lines that share a key and differ in at most
-``MAX_DISTANCE`` bits are candidates.  Lines of at most ``FEW_WORDS`` words get a second
-SimHash over their character 4-grams, so that one word, or a script without spaces, is no
-obstacle.  Lines of at most ``SHORT`` characters also get what is left of them after up to
-two deletions: no pair of at least 0.8 between two such lines is lost, since both come down to
-the same text by at most a fifth of the longer.  No line is left out for its number of words
+space.  A line has twenty minima over its words: each word's hash is divided by the square of
+the word's length (up to ``_HEAVY``), so that long words are the smallest more often than short
+and frequent ones.  ``BITS`` bits stay of each minimum.  A line is put under ``5 * CLASSES`` keys
+of four minima each, no two of which have more than one minimum in common.  Two lines that share
+a key and have at least ``MIN_ALIKE`` equal minima are candidates.  Lines of at most ``FEW_WORDS``
+words get minima over their character 4-grams as well, so that one word, or a script without
+spaces, is no obstacle.  Lines of at most ``SHORT`` characters also get what is left of them after
+up to two deletions: no pair of at least 0.8 between two such lines is lost, since both come down
+to the same text by at most a fifth of the longer.  No line is left out for its number of words
 or characters.
 Two candidates are linked if the edit similarity of the normalised lines is 0.8 or more,
 which is decided exactly: bounds only accept, and only what the distance would accept too.
 Of the occurrences in a connected group the first stays, by doc_id (null last), then row,
 then place in the text.
 
-SimHashes are chances: bits, blocks and keys were chosen from the recall measured on real
-lines (README).  A key has 16 bits, so the comparisons of SimHashes grow with the square of
-the number of distinct lines over 2^16.
+Minima are chances: two lines whose words have the weighted Jaccard similarity j share one of
+the keys with a chance of about 1 - (1 - j^4)^(5 * CLASSES), which is 0.96 for two thirds (a fifth of
+the words replaced).  Measured recall is in the README.  A key has 24 bits, so chance brings few
+lines together; those that share many long words meet however many lines there are.
 
 Equal lines are one node, whatever their number, and no key emits all its pairs (see
 ``bucket_components``).  Only column expressions are used.  Texts are read once; normalised
 lines are written, and compared later only for the lines that have candidates.
 
 Defined results: null text is empty; lines without letters and digits stay and are not
-counted as duplicates; the edit similarity counts characters at every length; beyond 2^20
-distinct words in one line the bit counters run into each other, which costs recall only;
-repeated rows are duplicates of each other line by line; an empty table gives an empty
-result.  Extra columns of any name pass through ``dedup_lines``, which takes the order of
-the rows instead of doc_id.
+counted as duplicates; the edit similarity counts characters at every length; repeated rows
+are duplicates of each other line by line; an empty table gives an empty result.  Extra columns
+of any name pass through ``dedup_lines``, which takes the order of the rows instead of doc_id.
 """
 
 from __future__ import annotations
@@ -44,18 +43,22 @@ from leakguard.llm.components import bucket_components, crowded_buckets
 from leakguard.llm.shared import fresh, materialize, shuffles_released, text_or_empty
 
 SIMILARITY = 0.8
-BLOCK = 8
-KEYS = 14
-MAX_DISTANCE = 28
+# Minima of a line's features, in two words of LANES numbers of BITS bits.
+BITS = 6
+LANES = 10
+# Keys of four minima: CLASSES times five, no two of which have more than one minimum in common.
+CLASSES = 3
+MIN_ALIKE = 9
 FEW_WORDS = 10
 # Texts of more characters are compared with fewer edits allowed first.
 LONG = 2_000
 # A fifth of this many characters is at most two edits.
 SHORT = 14
 _GRAM = 4
-# Counters of 21 bits, three to a long: counter i of lane k counts bit 21 k + i.
-_LANE = 21
-_LANES = 1 | 1 << _LANE | 1 << 2 * _LANE
+# Words of more letters weigh as much as words of so many.
+_HEAVY = 12
+# The lowest bit of every lane.
+_ONES = sum(1 << BITS * i for i in range(LANES))
 
 
 def normalised(line: Column) -> Column:
@@ -76,65 +79,67 @@ def line_table(docs: DataFrame) -> DataFrame:
     return lines.withColumn("node", F.when(F.length("norm") > 0, F.xxhash64("norm")))
 
 
-def _majority(counts: list[Column], n: Column) -> Column:
-    """63 bits: whether a bit is set in more than half of ``n`` hashes.
+def line_hashes(lines: DataFrame) -> DataFrame:
+    """Per distinct line of (node, norm) and kind of features: node, grams (else words), first, second (LANES minima each).
 
-    Adding 2^20 - 1 - n div 2 to a counter carries into its bit 20 just then.
+    Copies and repeated words change no minimum, so neither needs to be found first.
     """
-    bias = (F.lit((1 << 20) - 1) - F.floor(n / 2)).cast("bigint") * F.lit(_LANES)
-    carry = lambda c: F.shiftrightunsigned(c + bias, 20).bitwiseAND(F.lit(_LANES))
-    return functools.reduce(Column.bitwiseOR, (F.shiftleft(carry(c), i) for i, c in enumerate(counts)))
-
-
-def line_hashes(lines: DataFrame) -> DataFrame:
-    """Per distinct line of (node, norm) and kind of features: node, grams (else words), first, second (63 bits each)."""
     # every 4-gram is a whole one from one of four starts
     grams = F.concat(*(F.regexp_extract_all(F.substring("norm", i + 1, 2**31 - 1), F.lit(f".{{{_GRAM}}}"), 0) for i in range(_GRAM)))
 
-    def hashed(distinct: DataFrame, is_grams: bool, features: Column) -> DataFrame:
-        one = distinct.select("node", F.explode(F.array_distinct(features)).alias("feature"))
-        return one.select("node", F.lit(is_grams).alias("grams"), F.xxhash64("feature").alias("h0"))
+    def hashed(few: DataFrame, is_grams: bool, features: Column) -> DataFrame:
+        one = few.select("node", F.explode(features).alias("feature"))
+        heavy = F.least(F.length("feature"), F.lit(_HEAVY))
+        scale = F.floor(F.lit(_HEAVY**2 << 8) / (heavy * heavy))
+        return one.select("node", F.lit(is_grams).alias("grams"), F.xxhash64("feature").alias("h"), scale.alias("scale"))
 
-    words = hashed(_distinct(lines), False, F.split("norm", " ", -1))
-    # lines of few words are taken before they are made distinct, so that not all lines are a second time
-    few = lines.filter(F.substring_index("norm", " ", FEW_WORDS) == F.col("norm"))
-    pieces = hashed(_distinct(few), True, grams)
-    bit = lambda h, i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(_LANES))
-    sums = [F.sum(bit(h, i)).alias(f"s{w}_{i}") for w, h in enumerate(("h0", "h1")) for i in range(_LANE)]
-    both = (_majority([F.col(f"s{w}_{i}") for i in range(_LANE)], F.col("n")).alias(x) for w, x in ((0, "first"), (1, "second")))
-    both = list(both)
+    def lanes(which: range) -> Column:
+        bits = (F.shiftleft(F.xxhash64(f"m{i}").bitwiseAND(F.lit((1 << BITS) - 1)), BITS * at) for at, i in enumerate(which))
+        return functools.reduce(Column.bitwiseOR, bits)
 
     def hashes(features: DataFrame) -> DataFrame:
-        counted = features.withColumn("h1", F.xxhash64("h0")).groupBy("node", "grams").agg(F.count("*").alias("n"), *sums)
-        return counted.select("node", "grams", *both)
+        # a number over a weight is the smallest with a chance near to the share of that weight; each hash gives two
+        halves = (F.shiftrightunsigned, lambda h, _: h.bitwiseAND(F.lit((1 << 32) - 1)))
+        number = lambda i: halves[i % 2](F.xxhash64(F.col("h").bitwiseXOR(F.lit(i // 2))), 32) * F.col("scale")
+        minima = features.groupBy("node", "grams").agg(*(F.min(number(i)).alias(f"m{i}") for i in range(2 * LANES)))
+        return minima.select("node", "grams", lanes(range(LANES)).alias("first"), lanes(range(LANES, 2 * LANES)).alias("second"))
 
-    return hashes(words).union(hashes(pieces))
+    few = lines.filter(F.substring_index("norm", " ", FEW_WORDS) == F.col("norm"))
+    return hashes(hashed(lines, False, F.split("norm", " ", -1))).union(hashes(hashed(few, True, grams)))
 
 
-def key_blocks() -> list[tuple[int, int]]:
-    """The two blocks of each key: neighbours on a ring first, then those further apart."""
-    n = 2 * (63 // BLOCK)
-    return [(i, (i + step) % n) for step in range(1, n) for i in range(n) if i < (i + step) % n or 2 * step < n][:KEYS]
+def key_lanes() -> list[tuple[int, ...]]:
+    """The four minima of each key: lines of different slopes on a grid of four by five."""
+    return [tuple(5 * x + (c - slope * x) % 5 for x in range(4)) for slope in range(CLASSES) for c in range(5)]
 
 
-def block_members(hashes: DataFrame) -> DataFrame:
+def key_members(hashes: DataFrame) -> DataFrame:
     """(node, first, second, bucket) of every key."""
-    per, low = 63 // BLOCK, F.lit((1 << BLOCK) - 1)
-
-    def block(i: int) -> Column:
-        return F.shiftrightunsigned("first" if i < per else "second", i % per * BLOCK).bitwiseAND(low)
 
-    def key(k: int, x: int, y: int) -> Column:
-        number = F.lit(2 * k).cast("bigint") + F.col("grams").cast("bigint")
-        return F.shiftleft(number, 2 * BLOCK).bitwiseOR(F.shiftleft(block(x), BLOCK)).bitwiseOR(block(y))
+    def key(k: int, four: tuple[int, ...]) -> Column:
+        lanes = sum(((1 << BITS) - 1) << BITS * i for i in four)
+        low, high = lanes & (1 << BITS * LANES) - 1, lanes >> BITS * LANES
+        kind = F.when(F.col("grams"), 2 * k + 1).otherwise(2 * k)
+        return F.xxhash64(kind, F.col("first").bitwiseAND(F.lit(low)), F.col("second").bitwiseAND(F.lit(high)))
 
-    keys = F.array(*(key(k, x, y) for k, (x, y) in enumerate(key_blocks())))
+    keys = F.array(*(key(k, four) for k, four in enumerate(key_lanes())))
     # in the order in which exploding leaves them, so that no projection tells the sides of the join apart
     return hashes.select("node", "first", "second", F.explode(keys).alias("bucket"))
 
 
+def _minima_alike(x: str, y: str) -> str:
+    """Whether ``MIN_ALIKE`` minima of two members are the same (members without minima: true)."""
+
+    def apart(word: str) -> str:
+        bits = f"({x}.{word} ^ {y}.{word})"
+        folded = " | ".join(f"shiftrightunsigned({bits}, {i})" for i in range(BITS))
+        return f"bit_count(({folded}) & {_ONES}L)"
+
+    return f"coalesce({apart('first')} + {apart('second')} <= {2 * LANES - MIN_ALIKE}, true)"
+
+
 def short_members(short: DataFrame) -> DataFrame:
-    """(bucket, node) of distinct lines (node, short): one for each way to delete up to two characters."""
+    """(node, first, second, bucket), without minima, of distinct lines (node, short): one for each way to delete up to two characters."""
     without = lambda s: F.transform(
         F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(SHORT)))
     )
@@ -142,12 +147,15 @@ def short_members(short: DataFrame) -> DataFrame:
     left = short.select("node", n.alias("n"), F.array("short").alias("whole"), F.when(n >= 4, without(F.col("short"))).otherwise(none).alias("one"))
     two = F.when(F.col("n") >= 8, F.flatten(F.transform("one", without))).otherwise(none)
     left = left.select("node", F.explode(F.array_distinct(F.concat("whole", "one", two))).alias("left"))
-    return left.select(F.xxhash64(F.lit("short"), "left").alias("bucket"), "node")
+    none = F.lit(None).cast("bigint")
+    return left.select("node", none.alias("first"), none.alias("second"), F.xxhash64(F.lit("short"), "left").alias("bucket"))
 
 
 def _near(least: float) -> Callable[[str, str], str]:
-    """Lengths that allow the similarity."""
-    return lambda x, y: f"abs({x} - {y}) <= floor({1 - least!r}D * greatest({x}, {y}) + 1e-9D)"
+    """Lengths that allow the similarity, and enough equal minima."""
+    return lambda x, y: (
+        f"abs({x}.n - {y}.n) <= floor({1 - least!r}D * greatest({x}.n, {y}.n) + 1e-9D) and {_minima_alike(x, y)}"
+    )
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -215,29 +223,31 @@ def _words_alike(left: Column, right: Column, allowed: Column) -> Column:
     return _placewise(left, right, allowed) | cut
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of at least the edit similarity: all of them, and no others."""
+def _verify(pairs: DataFrame, texts: DataFrame, least: float, likely: bool = True) -> DataFrame:
+    """Pairs (a, b) of at least the edit similarity: all of them, and no others.
+
+    Where few pairs are ``likely`` to be links, bounds that only accept would come on top of
+    the distance, so they are left to long texts.
+    """
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
     longest = F.greatest(F.length("left"), F.length("right"))
     allowed = F.floor((1 - F.lit(least)) * longest + F.lit(1e-9)).cast("int")
     near = both.withColumn("allowed", allowed).filter(F.abs(F.length("left") - F.length("right")) <= F.col("allowed"))
     words = (F.split(c, " ", -1) for c in ("left", "right"))
-    return near.filter(_words_alike(*words, F.col("allowed"))).select("a", "b")
+    alike = _words_alike(*words, F.col("allowed"))
+    if not likely:
+        whole = _alike(F.col("left"), F.col("right"), F.col("allowed"))
+        alike = F.when(F.greatest(F.length("left"), F.length("right")) <= LONG, whole).otherwise(alike)
+    return near.filter(alike).select("a", "b")
 
 
-def _with_partner(members: DataFrame, near: str) -> DataFrame:
-    """(bucket, node) of members that another one of their bucket is near to; both sides are one exchange.
+def _with_partner(members: DataFrame) -> DataFrame:
+    """Members that another one of their bucket is near to; both sides are one exchange.
 
-    The planner sees the few bytes before the keys are exploded, so it is told not to broadcast.
+    A partition's members are hashed, which takes half of the time of sorting them on both sides.
     """
-    met = F.expr(f"x.bucket = y.bucket and x.node <> y.node and {near}")
-    return members.alias("x").join(members.alias("y").hint("merge"), met, "left_semi").select("bucket", "node")
-
-
-def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per line: doc_id, row, line_no, class_id (null: no words), kept."""
-    with shuffles_released(docs.sparkSession):
-        return _line_classes(docs, least)
+    met = F.expr(f"x.bucket = y.bucket and x.node <> y.node and {_minima_alike('x', 'y')}")
+    return members.alias("x").join(members.alias("y").hint("shuffle_hash"), met, "left_semi").select("bucket", "node", "first", "second")
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
@@ -245,39 +255,53 @@ def _distinct(lines: DataFrame) -> DataFrame:
     return lines.groupBy("node").agg(F.min("norm").alias("norm"))
 
 
-def _line_classes(docs: DataFrame, least: float) -> DataFrame:
-    lines = materialize(line_table(docs), "lines", "zstd")
+def _labelled(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """One row per line (doc_id, row, line_no, place, class_id) and per class of several lines (class_id, first)."""
+    lines = materialize(line_table(docs), "lines")
     worded = lines.filter("node is not null")
-    # the words of a line are counted where the line was shuffled to
     hashes = materialize(line_hashes(worded), "line-hashes")
     short = _distinct(worded.filter(F.length("norm") <= SHORT)).select("node", F.col("norm").alias("short"))
     # members that have a partner; a member comes out once, however many it has
-    near = f"bit_count(x.first ^ y.first) + bit_count(x.second ^ y.second) <= {MAX_DISTANCE}"
-    paired = _with_partner(block_members(hashes), near).union(_with_partner(short_members(short), "true"))
-    paired = materialize(paired, "paired")
+    paired = materialize(_with_partner(key_members(hashes)).union(_with_partner(short_members(short))), "paired")
     wanted = paired.select("node").distinct()
     texts = materialize(_distinct(worded.join(wanted, "node", "left_semi")), "line-texts", "zstd")
-    paired = paired.join(texts.select("node", F.length("norm").alias("trait")), "node").select("bucket", "node", "trait")
-    labels = bucket_components(crowded_buckets(paired), _near(least), lambda pairs: _verify(pairs, texts, least))
+    paired = paired.join(texts.select("node", F.length("norm").alias("n")), "node")
+    paired = paired.select("bucket", "node", F.struct("n", "first", "second").alias("trait"))
+    verify = functools.partial(_verify, texts=texts, least=least)
+    strays = functools.partial(verify, likely=False)
+    labels = bucket_components(crowded_buckets(paired), _near(least), verify, verify_strays=strays)
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row", "line_no")
-    placed = lines.drop("norm").join(labels, "node", "left").withColumn("class_id", F.coalesce("label", "node"))
-    first = placed.filter("class_id is not null").groupBy("class_id").agg(F.min(place).alias("first"))
+    placed = lines.drop("norm").join(labels, "node", "left").withColumn("place", place)
+    placed = placed.select("doc_id", "row", "line_no", "place", F.coalesce("label", "node").alias("class_id"))
+    first = placed.filter("class_id is not null").groupBy("class_id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    return placed, first.filter("n > 1").drop("n")
+
+
+def line_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per line: doc_id, row, line_no, class_id (null: no words), kept."""
+    with shuffles_released(docs.sparkSession):
+        placed, first = _labelled(docs, least)
     return placed.join(first, "class_id", "left").select(
-        "doc_id", "row", "line_no", "class_id", F.coalesce(place == F.col("first"), F.lit(True)).alias("kept")
+        "doc_id", "row", "line_no", "class_id", F.coalesce(F.col("place") == F.col("first"), F.lit(True)).alias("kept")
     )
 
 
 def line_report(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, n_lines, n_kept, dropped (line numbers from 0, joined)."""
+    with shuffles_released(docs.sparkSession):
+        placed, first = _labelled(docs, least)
+    gone = placed.join(first, "class_id").filter(F.col("place") != F.col("first")).groupBy("row")
+    gone = gone.agg(F.count("*").alias("n_gone"), F.array_join(F.sort_array(F.collect_list("line_no")), ",").alias("dropped"))
     return (
-        line_classes(docs, least)
-        .groupBy("row", "doc_id")
-        .agg(
-            F.count("*").alias("n_lines"),
-            F.count(F.when(F.col("kept"), 1)).alias("n_kept"),
-            F.array_join(F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))), ",").alias("dropped"),
+        placed.groupBy("row", "doc_id")
+        .agg(F.count("*").alias("n_lines"))
+        .join(gone, "row", "left")
+        .select(
+            "doc_id",
+            "n_lines",
+            (F.col("n_lines") - F.coalesce("n_gone", F.lit(0))).alias("n_kept"),
+            F.coalesce("dropped", F.lit("")).alias("dropped"),
         )
-        .drop("row")
     )
 
 
