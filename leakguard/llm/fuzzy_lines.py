@@ -120,7 +120,8 @@ def key_members(hashes: DataFrame) -> DataFrame:
         lanes = sum(((1 << BITS) - 1) << BITS * i for i in four)
         low, high = lanes & (1 << BITS * LANES) - 1, lanes >> BITS * LANES
         kind = F.when(F.col("grams"), 2 * k + 1).otherwise(2 * k)
-        return F.xxhash64(kind, F.col("first").bitwiseAND(F.lit(low)), F.col("second").bitwiseAND(F.lit(high)))
+        # as many bits as the minima and the kinds of keys have, since all bits are shuffled
+        return F.xxhash64(kind, F.col("first").bitwiseAND(F.lit(low)), F.col("second").bitwiseAND(F.lit(high))).bitwiseAND(F.lit((1 << 4 * BITS + 5) - 1))
 
     keys = F.array(*(key(k, four) for k, four in enumerate(key_lanes())))
     # in the order in which exploding leaves them, so that no projection tells the sides of the join apart
@@ -257,7 +258,7 @@ def _distinct(lines: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """One row per line (doc_id, row, line_no, place, class_id) and per class of several lines (class_id, first)."""
-    lines = materialize(line_table(docs), "lines")
+    lines = materialize(line_table(docs), "lines", "zstd")
     worded = lines.filter("node is not null")
     hashes = materialize(line_hashes(worded), "line-hashes")
     short = _distinct(worded.filter(F.length("norm") <= SHORT)).select("node", F.col("norm").alias("short"))
